@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import language
+from rangeloom.llm import language, media
 
-OPERATORS = (language,)
+OPERATORS = (media, language)
 
 
 def queries():
