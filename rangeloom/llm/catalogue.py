@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import language, media
+from rangeloom.llm import language, media, packing
 
-OPERATORS = (media, language)
+OPERATORS = (packing, media, language)
 
 
 def queries():
