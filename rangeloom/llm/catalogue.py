@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import language, media, packing
+from rangeloom.llm import language, media, packing, simhash
 
-OPERATORS = (packing, media, language)
+OPERATORS = (packing, media, simhash, language)
 
 
 def queries():
