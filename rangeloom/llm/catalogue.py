@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import language, media, packing, simhash
+from rangeloom.llm import language, media, packing, simhash, transducer
 
-OPERATORS = (packing, media, simhash, language)
+OPERATORS = (packing, media, simhash, transducer, language)
 
 
 def queries():
