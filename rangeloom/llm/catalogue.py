@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import language, media, packing, simhash, transducer
+from rangeloom.llm import language, media, packing, pii, simhash, transducer
 
-OPERATORS = (packing, media, simhash, transducer, language)
+OPERATORS = (pii, packing, media, simhash, transducer, language)
 
 
 def queries():

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import record_batch, sliced, table
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
-CHUNK, MOST_STATES, COLUMNS = 512, 150_000, 112
+CHUNK, MOST_STATES, COLUMNS = 512, 300_000, 112
 #: Symbols that end a word are moved here, one character each.
 _END = 0xE000
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
