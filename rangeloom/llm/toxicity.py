@@ -29,7 +29,7 @@ from rangeloom.llm.common import crc_mod, record_batch, sliced, strings, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1600, 2400
 WORD, OVERLAP, DECAY, GAPS = 32, 12, 0.6, ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
-LANDMARKS, ROUNDS, COST, WITNESSES = 240, 4, 2.0, 3
+LANDMARKS, ROUNDS, COST, WITNESSES = 240, 4, 200.0, 3
 THRESHOLD, CACHE = 0.3, 500_000
 BASE = 64
 _SPACED = re.compile(r"(?:(?<!\S)\S\s){3,}")
@@ -119,7 +119,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60):
     """Ridge logistic regression by Newton steps."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x1.shape[1])
-    ridge = np.eye(w.size) * 0.05
+    ridge = np.eye(w.size) * 0.01
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
@@ -127,21 +127,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60):
     return w
 
 
+def _substrings(words: list[str], lengths=(3, 5, 7), slots: int = 1 << 21):
+    """(word index, slot) of the contiguous runs of symbols, borders included, sorted by word."""
+    flat = np.frombuffer("".join(f"\0{w}\0" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    rows, codes = [], []
+    for k in lengths:
+        n = flat.size - k + 1
+        if n <= 0:
+            continue
+        code = np.full(n, k, np.int64)
+        for j in range(k):
+            code = (code * 1_000_003 + flat[j : j + n]) & 0x7FFFFFFFFFF
+        same = np.flatnonzero(owner[:n] == owner[k - 1 :])
+        rows.append(owner[same])
+        codes.append((code[same] ^ code[same] >> 19) % slots)
+    row, code = np.concatenate(rows), np.concatenate(codes)
+    order = np.argsort(row, kind="stable")
+    return row[order], code[order], slots
+
+
 def _first_scores(bags, labels, vocabulary):
-    """Starting point: the log odds of a word's contiguous subsequences between toxic and clean texts."""
-    row, code, _, _ = features(vocabulary, gaps=((1, 1),))
+    """Starting point: a word scores the best log odds, toxic against clean texts, of the substrings in it."""
+    row, code, slots = _substrings(vocabulary)
     starts = np.searchsorted(row, np.arange(len(vocabulary) + 1))
-    seen = np.zeros((2, BASE**3))
+    seen = np.zeros((2, slots), np.float32)
     for bag, label in zip(bags, labels, strict=True):
         if len(bag):
-            codes = np.concatenate([code[starts[i] : starts[i + 1]] for i in bag.tolist()])
-            seen[label, np.unique(codes)] += 1
+            seen[label, np.unique(np.concatenate([code[starts[i] : starts[i + 1]] for i in bag.tolist()]))] += 1
     n = np.bincount(labels, minlength=2)
-    p1, p0 = (seen[1] + 0.5) / (n[1] + 1), (seen[0] + 0.5) / (n[0] + 1)
-    odds = np.log(p1 / p0) * np.sqrt(np.minimum(seen[1], 40) / 40)
+    gain = seen[1] * np.log((seen[1] + 0.5) / (n[1] + 1) / ((seen[0] + 0.5) / (n[0] + 1)))
+    odds = np.log((seen[1] + 0.5) / (n[1] + 1) / ((seen[0] + 0.5) / (n[0] + 1))) * np.minimum(1, np.sqrt(np.maximum(gain, 0) / (0.05 * max(n[1], 1))))
     best = np.full(len(vocabulary), -9.0)
     np.maximum.at(best, row, odds[code])
-    return best + np.bincount(row, weights=odds[code], minlength=len(vocabulary)) / np.maximum(np.bincount(row, minlength=len(vocabulary)), 1)
+    return best
 
 
 def _summary(scores: np.ndarray) -> tuple[float, float, float]:
@@ -153,8 +172,8 @@ def _summary(scores: np.ndarray) -> tuple[float, float, float]:
     return (max(-1.5, float(top[-1])), third, float(np.log1p((scores > 0).sum())))
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7):
-    """(weights of subsequences, bias, calibration), or None without both labels."""
+def fit(texts: list[str], labels: list[int], share: float | None = None, seed: int = 7):
+    """(weights of subsequences, bias, calibration), or None without both labels; share: of toxic texts among all labelled."""
     labels = np.array(labels, np.int64)
     if len(set(labels.tolist())) < 2:
         return None
@@ -178,8 +197,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 7):
         hard = np.unique(np.concatenate([b[np.argsort(-score[b])[:WITNESSES]] for b in clean])) if clean else np.zeros(0, np.int64)
         seen_clean = np.unique(np.concatenate(clean)) if clean else np.zeros(0, np.int64)
         other = rng.choice(seen_clean, min(2500, seen_clean.size), replace=False) if seen_clean.size else seen_clean
-        good = np.setdiff1d(np.flatnonzero(votes), seen_clean)
-        bad = np.union1d(hard, other)
+        dirty = np.bincount(np.concatenate(clean), minlength=len(vocabulary)) if clean else np.zeros(len(vocabulary), np.int64)
+        good = np.flatnonzero(votes > 3 * dirty * len(toxic) / max(len(clean), 1))
+        hard = np.setdiff1d(hard, good)
+        bad = np.setdiff1d(np.union1d(hard, other), good)
         if not good.size or not bad.size:
             break
         common = good[np.argsort(-votes[good], kind="stable")][: LANDMARKS // 3]
@@ -198,7 +219,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 7):
     held = labels[~learn]
     if len(set(held.tolist())) < 2:
         x, held = np.array([_summary(score[b]) for b in bags]), labels
-    return weights, float(bias), _logistic(x, held)
+    calibration = _logistic(x, held)
+    if share is not None and 0 < share < 1:
+        calibration[-1] += np.log(share / (1 - share)) - np.log(held.sum() / (len(held) - held.sum()))
+    return weights, float(bias), calibration
 
 
 def _scorer(model):
@@ -236,8 +260,8 @@ def classify(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, where, label: str = "toxic") -> tuple[list[str], list[int]]:
-    """A bounded hash sample of labelled texts, in the order of their ids."""
+def training_rows(docs: DataFrame, labels: DataFrame, where, label: str = "toxic") -> tuple[list[str], list[int], float]:
+    """A bounded hash sample of labelled texts, in the order of their ids, and the share of toxic ones among all."""
     known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1))
     known = known.where(where(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
     n = defaultdict(int, {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()})
@@ -246,7 +270,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, where, label: str = "toxic
     few = known.where(spread < rate)
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(few), "i").where(F.col("text").isNotNull()).collect()
     rows.sort(key=lambda r: (r["i"], r["text"]))
-    return [r["text"] for r in rows], [r["y"] for r in rows]
+    return [r["text"] for r in rows], [r["y"] for r in rows], n[1] / max(n[0] + n[1], 1)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
