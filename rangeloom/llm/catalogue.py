@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import language, media, packing, pii, simhash, toxicity, transducer
+from rangeloom.llm import language, media, mixing, packing, pii, simhash, toxicity, transducer
 
-OPERATORS = (pii, toxicity, packing, media, simhash, transducer, language)
+OPERATORS = (pii, toxicity, packing, media, simhash, transducer, mixing, language)
 
 
 def queries():
