@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import language, media, mixing, packing, passages, pii, simhash, toxicity, transducer
+from rangeloom.llm import language, media, mixing, neighbours, packing, passages, pii, simhash, toxicity, transducer
 
-OPERATORS = (pii, toxicity, packing, media, passages, simhash, transducer, mixing, language)
+OPERATORS = (pii, toxicity, neighbours, packing, media, passages, simhash, transducer, mixing, language)
 
 
 def queries():

@@ -96,3 +96,34 @@ def record_batch(names_types, columns) -> pa.RecordBatch:
         else:
             arrays.append(pa.array(values.tolist() if isinstance(values, np.ndarray) and values.dtype == object else values, type=kind))
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in names_types])
+
+
+def complete_groups(batches, keys: int):
+    """(table, group bounds) of Arrow batches that are sorted by their first ``keys`` integer columns.
+
+    Groups are whole: rows of the last one are held back until the next begins.
+    """
+
+    def bounds(t):
+        changed = np.zeros(max(t.num_rows - 1, 0), bool)
+        for i in range(keys):
+            changed |= np.diff(t.column(i).to_numpy()) != 0
+        return np.flatnonzero(changed) + 1
+
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        cuts = bounds(t) if t.num_rows else []
+        if len(cuts):
+            yield t.slice(0, int(cuts[-1])), np.concatenate([[0], cuts])
+            t = t.slice(int(cuts[-1]))
+        held = t
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def stacked(column, dtype, width: int | None = None) -> np.ndarray:
+    """Rows of a column of equally long binary values as a matrix."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
