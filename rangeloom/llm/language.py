@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import crc_mod, record_batch, strings, table
+from rangeloom.llm.rows import rewritten
 
 #: Bounds of the fitted model: expected documents, characters of each and dictionary bytes, per language.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 1000, 96 << 10
@@ -105,6 +106,21 @@ def identify(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id")
     )
 
 
+def accepted(docs: DataFrame, model, text: str = "text") -> DataFrame:
+    """The table's rows whose language is told with enough margin."""
+
+    def begin():
+        score = _scorer(model)
+
+        def change(batch, extras):
+            found = [score(t) for t in strings(extras[0])]
+            yield batch.filter(pa.array([x[0] != "und" and x[2] >= MARGIN for x in found], pa.bool_()))
+
+        return change
+
+    return rewritten(docs, {"text": F.col(text)}, begin)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, where=lambda i: crc_mod(i, 5) != 0)

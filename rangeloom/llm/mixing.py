@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import materialize, record_batch, sliced, table, utf8
+from rangeloom.llm.rows import rewritten
 from rangeloom.llm.tokens import encoder
 
 #: Domains of the labels table and their shares of the mixed tokens.
@@ -148,6 +149,10 @@ def solve(members: DataFrame, targets=TARGETS) -> np.ndarray:
     return chosen
 
 
+def _spread(doc_id):
+    return F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def rated(members: DataFrame, steps: np.ndarray) -> DataFrame:
     """Adds rate and copies: the rate rounded by a hash of the id, so that copies average to the rate."""
     names = [f"p_{d}" for d in DOMAINS]
@@ -156,7 +161,7 @@ def rated(members: DataFrame, steps: np.ndarray) -> DataFrame:
     if len(steps):
         moves = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
         rate = F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(point, s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)))
-    spread = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    spread = _spread(F.col("doc_id"))
     return members.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + F.when(spread < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
@@ -166,6 +171,23 @@ def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS) -> DataFrame:
     return rated(members, solve(members, targets))
 
 
+def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS) -> DataFrame:
+    """The table with each row as often as its rounded rate says; rows of domains short of their target never go."""
+    model = learn(docs, labels)
+    steps = solve(materialize(memberships(docs, model), "members"), targets)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def change(batch, extras):
+        if not batch.num_rows:
+            return
+        p = np.concatenate([posteriors(utf8(b.column(0)), shared.value) for b in sliced([pa.RecordBatch.from_arrays([extras[0]], names=["t"])], 2 << 20)])
+        rate = _rates(p, steps)
+        copies = np.floor(rate) + (extras[1].to_numpy(zero_copy_only=False) < rate - np.floor(rate))
+        yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies.astype(np.int64))))
+
+    return rewritten(docs, {"text": F.col("text"), "spread": _spread(F.col("doc_id").cast("long"))}, lambda: change)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import discard, materialize, record_batch, sliced, table, utf8
+from rangeloom.llm.rows import bitmap, member, slots
 
 K, SPAN, LEAST, SIMILAR = 5, 12, 50, 0.8
 #: A seed's weight, the cost of a skipped word on either side, and the words looked at beyond a chain's ends.
 WEIGHT, GAP, MARGIN = 5.0, 0.08, 24
 #: What remains of a passage of LEAST words between its first and last seed.
 CORE = LEAST - 2 * (SPAN - 1)
-FILTER_BITS = 1 << 23
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -231,25 +231,13 @@ def chained(links: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc long, ref long, first int, last int, ref_first int, ref_last int, steps binary")
 
 
-def _bitmap(ids: DataFrame) -> bytes:
-    """FILTER_BITS bits with each id's slot set; of a fixed size whatever the number of ids."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(F.shiftright(slot, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int")).alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, "<u4")
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    return out.tobytes()
-
-
 def words(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc, words (32 bits of each word's hash) of at least the documents with the given ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     def run(batches):
         for b in sliced(batches, 4 << 20):
-            slot = b.column(2).to_numpy(zero_copy_only=False)
-            bits = np.frombuffer(shared.value, np.uint8)
-            keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7) & 1)
+            keep = np.flatnonzero(member(shared.value, b.column(2).to_numpy(zero_copy_only=False)))
             if not keep.size:
                 continue
             part = b.take(pa.array(keep))
@@ -259,8 +247,7 @@ def words(docs: DataFrame, ids: DataFrame) -> DataFrame:
             out = [value[a:e].tobytes() for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield record_batch([("doc", pa.int64()), ("words", pa.binary())], [part.column(0), out])
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")
-    return docs.select("doc_id", "text", slot).mapInArrow(run, "doc long, words binary")
+    return docs.select("doc_id", "text", slots(F.col("doc_id")).alias("slot")).mapInArrow(run, "doc long, words binary")
 
 
 def _gap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import discard, materialize, record_batch, sliced, strings, table
+from rangeloom.llm.common import materialize, record_batch, sliced, strings, table
+from rangeloom.llm.rows import rewritten
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, GENERALISE, REMOVE, BITS = 6, 3, 0.5, 0.9, 6.0
@@ -237,6 +238,73 @@ def sanitised_text(text: str, terms: dict[str, tuple[str, float]]) -> str:
     return "".join(out) + text[at:]
 
 
+def sanitised(docs: DataFrame) -> DataFrame:
+    """The table with sanitised texts; n_chars, where there is one, follows. Null texts stay null.
+
+    Texts without a disclosing term are rewritten in place; the few others meet their terms in a join by term.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    flagged = disclosing(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(flagged.select("term")))
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def hits(texts):
+        has = _member(shared.value)
+        words = [set(_WORD.findall(t.lower())) for t in texts]
+        local = {w for w in set().union(*words) if has(w)}
+        return [sorted(local & w) for w in words]
+
+    def changed(batch, terms):
+        texts = [None if t is None else sanitised_text(t, x) for t, x in zip(batch.column(at).to_pylist(), terms, strict=True)]
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, columns[at].type)
+        if size is not None:
+            columns[size] = pa.array([None if t is None else len(t) for t in texts], columns[size].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    def plain(batch, extras):
+        for b in sliced([batch]):
+            b = b.filter(pa.array([not h for h in hits(strings(b.column(at)))], pa.bool_()))
+            yield changed(b, [{}] * b.num_rows)
+
+    easy = rewritten(docs, {}, lambda: plain)
+    if flagged.isEmpty():
+        return easy
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+
+    def find(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for b in sliced([batch]):
+                found = hits(strings(b.column(1)))
+                for i, terms in enumerate(found):
+                    if terms:
+                        one = b.slice(i, 1).column(0)
+                        yield pa.RecordBatch.from_arrays([one.take(pa.array([0] * len(terms))), pa.array([part] * len(terms), pa.int32()), pa.array([n] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["row", "part", "n", "term"])
+                        n += 1
+
+    schema = f"row {keyed.schema['row'].dataType.simpleString()}, part int, n long, term string"
+    pending = materialize(keyed.mapInArrow(find, schema), "pending")
+    known = pending.select("part", "n", "term").join(flagged.select("term", "entity_kind", "p"), "term").groupBy("part", "n").agg(F.collect_list(F.struct("term", "entity_kind", "p")).alias("terms"))
+    hard = pending.groupBy("part", "n").agg(F.first("row").alias("row")).join(known, ["part", "n"], "left").select("row.*", F.col("terms").alias("__terms"))
+
+    def rest(batch, extras):
+        yield changed(batch, [{t["term"]: (t["entity_kind"], t["p"]) for t in x or ()} for x in extras[0].to_pylist()])
+
+    return easy.union(_with_terms(hard, docs.columns, rest))
+
+
+def _with_terms(hard: DataFrame, names: list[str], rest) -> DataFrame:
+    """Rewrites rows that carry their terms as a last column."""
+    schema = hard.drop("__terms").schema
+
+    def run(batches):
+        for b in batches:
+            yield from rest(pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]), b.columns[-1:])
+
+    return hard.mapInArrow(run, schema).select(*names)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return report(spans(docs, disclosing(docs)))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import materialize, record_batch, sliced, table, utf8
 from rangeloom.llm.graph import components
+from rangeloom.llm.passages import word_hashes, words
+from rangeloom.llm.rows import without
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 _LOW = 0x5555555555555555
@@ -116,6 +118,98 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Fingerprints of the search by word sets, and the share of common five-word shingles that makes texts near copies.
+VIEWS, FIVE, SIMILAR = 3, 5, 0.8
+
+
+def word_views(texts: list[bytes]) -> np.ndarray:
+    """VIEWS fingerprints of each text's set of words; an edited word changes one feature, not a run of shingles."""
+    value, owner, _ = word_hashes(texts)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    first = np.ones(value.size, bool)
+    first[1:] = (np.diff(owner) != 0) | (value[1:] != value[:-1])
+    value, owner = value[first], owner[first]
+    out = np.zeros((len(texts), VIEWS), np.int64)
+    if not value.size:
+        return out
+    begins = np.flatnonzero(np.diff(owner, prepend=-1))
+    sizes = np.diff(np.append(begins, owner.size))
+    for v in range(VIEWS):
+        h = (value ^ np.uint64(v * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((h ^ (h >> np.uint64(29))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+        out[owner[begins], v] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+    return out
+
+
+def _similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of the sets of five-word shingles of two sequences of word hashes; shorter texts are one shingle."""
+
+    def shingles(data):
+        w = np.frombuffer(data, "<u4").astype(np.uint64)
+        n = max(1, w.size - FIVE + 1)
+        h = np.zeros(n, np.uint64)
+        for j in range(min(FIVE, w.size)):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : n + j] + np.uint64(1)
+        return np.unique(h)
+
+    x, y = shingles(a), shingles(b)
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return both / max(x.size + y.size - both, 1)
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, component_id of every row with an id: groups of copies, and of texts with five-word similarity of SIMILAR or more.
+
+    Copies (equal word sequences) are one text. Texts are compared with the first text of an equal fingerprint, and the first
+    texts of fingerprints that lie within RADIUS bits with each other, in each of the VIEWS; each such pair is verified on
+    its whole texts, so that a large group costs one pair a text and view, not all pairs.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    views = [f"f{v}" for v in range(VIEWS)]
+    fields = [("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), *((f, pa.int64()) for f in views)]
+
+    def run(batches):
+        for b in sliced(batches, 2 << 20):
+            texts = utf8(b.column(1))
+            contents = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
+            halves = np.frombuffer(b"".join(contents), "<i8").reshape(-1, 2)
+            yield record_batch(fields, [b.column(0), halves[:, 0], halves[:, 1], *word_views(texts).T])
+
+    rows = materialize(docs.mapInArrow(run, ", ".join(f"{n} long" for n, _ in fields)), "views")
+    texts = materialize(rows.groupBy("c0", "c1", *views).agg(F.min("doc_id").alias("node")), "texts")
+    pairs = None
+    for f in views:
+        heads = texts.groupBy(f).agg(F.min("node").alias("head"))
+        same = texts.join(heads, f).where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
+        near = links(heads.select(F.col("head").alias("node"), F.col(f).alias("fp")))
+        found = same.union(near)
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "pairs")
+    ids = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
+    known = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
+    both = pairs.join(known.withColumnsRenamed({"doc": "src", "words": "a"}), "src").join(known.withColumnsRenamed({"doc": "dst", "words": "b"}), "dst")
+
+    def verify(batches):
+        for b in sliced(batches):
+            good = [_similarity(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield record_batch([("src", pa.int64()), ("dst", pa.int64())], [c.filter(pa.array(good, pa.bool_())) for c in b.columns[:2]])
+
+    found = components(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long"))
+    named = texts.join(found, "node", "left").select("c0", "c1", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(named, ["c0", "c1"]).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The table's rows without all but the first document (by id) of each group; rows with a null id stay."""
+    found = materialize(near_copies(docs), "groups")
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    return without(docs, dropped, once=again)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
