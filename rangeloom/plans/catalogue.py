@@ -1,15 +1,575 @@
-"""Registry of the engine's queries and the SQL that states their results."""
+"""The engine's queries over the demo tables, each with the SQL that states its result."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from rangeloom.functions import hashing
+from rangeloom.operators import dml, movement, routing, stats
+from rangeloom.plans.engine import Engine
+from rangeloom.plans.model import KeyColumn, Metadata, Relation
+from rangeloom.sources import copy as copying
+from rangeloom.sources import remote
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+SHARDS = ("sh1", "sh2", "sh3", "sh4")
+QUARTER = 1 << 30
+
+
+def demo(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the tables: five distributions on four shards and four reference tables."""
+    meta = Metadata(SHARDS)
+    meta.create_distribution("ds_ord", ["integer"])
+    meta.create_distribution("ds_cust", ["integer hash"])
+    meta.create_distribution("ds_evt", ["integer", "varchar"])
+    meta.create_distribution("ds_expr", ["integer hash"])
+    meta.create_distribution("ds_doc", ["varchar hash"])
+    bounds = {"ds_ord": [(0,), (500,), (5000,), (10000,)], "ds_evt": [(0, ""), (5, "m"), (50, ""), (100, "click")]}
+    for d in ("ds_cust", "ds_expr"):
+        bounds[d] = [(i * QUARTER,) for i in range(4)]
+    for d, lower in bounds.items():
+        for i in reversed(range(4)):
+            meta.create_range(f"{d}_{i + 1}", lower[i], SHARDS[i], d)
+    meta.create_range("ds_doc_2", (2 * QUARTER,), "sh2", "ds_doc")
+    meta.create_range("ds_doc_1", (0,), "sh1", "ds_doc")
+    plain = lambda *names: [KeyColumn(n) for n in names]
+    meta.attach("ds_ord", Relation("orders", plain("o_orderkey")))
+    meta.attach("ds_ord", Relation("lineitem", plain("l_orderkey")))
+    meta.attach("ds_cust", Relation("customer", [KeyColumn("c_custkey", "murmur")]))
+    meta.attach("ds_cust", Relation("orders_by_cust", [KeyColumn("o_custkey", "murmur")]))
+    meta.attach("ds_evt", Relation("events", plain("user_id", "event_type")))
+    meta.attach("ds_expr", Relation("lineitem_ps", [KeyColumn("murmur", "murmur", (("l_partkey", "uinteger"), ("l_suppkey", "uinteger")))]))
+    meta.attach("ds_doc", Relation("documents", [KeyColumn("source", "murmur")]))
+    for name in ("region", "nation", "supplier", "part"):
+        meta.create_reference(name)
+    engine = Engine(spark, meta)
+    for name in TABLES:
+        engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    engine.register("orders_by_cust", engine.tables["orders"])
+    engine.register("lineitem_ps", engine.tables["lineitem"])
+    return engine
+
+
+_QUERIES, _ORACLES = {}, {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of an engine; its oracle is DuckDB SQL."""
+
+    def put(f):
+        _QUERIES[name] = lambda spark, sf_dir: f(demo(spark, sf_dir))
+        if oracle is not None:
+            _ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def same(name: str, sql: str, settings: str = "") -> None:
+    """Registers a query whose text is its own oracle: pruning and planning must not change rows."""
+    _QUERIES[name] = lambda spark, sf_dir: demo(spark, sf_dir).sql(settings + sql)
+    _ORACLES[name] = sql
+
+
+def _ladder(key: str, bounds, names=SHARDS) -> str:
+    steps = "".join(f" WHEN {key} >= {b} THEN '{s}'" for b, s in reversed(list(zip(bounds, names, strict=True))))
+    return f"CASE{steps} END"
+
+
+ORD = (0, 500, 5000, 10000)
+HASHED = tuple(i * QUARTER for i in range(4))
+_EVT = (
+    "CASE WHEN user_id > 100 OR user_id = 100 AND event_type >= 'click' THEN 'sh4' WHEN user_id > 50 OR user_id = 50 AND event_type >= '' THEN 'sh3' "
+    "WHEN user_id > 5 OR user_id = 5 AND event_type >= 'm' THEN 'sh2' WHEN user_id >= 0 THEN 'sh1' END"
+)
+
+
+def _hash_sql(source: str, key: str, method: str = "murmur") -> str:
+    p = hashing.Program()
+    return p.duckdb(source, p.integer(key, method), "h")
+
+
+def _pair_sql(source: str, a: str, b: str) -> str:
+    p = hashing.Program()
+    parts = [p.integer(a, "murmur"), p.integer(b, "murmur")]
+    return p.duckdb(source, p.combined(parts), "h")
+
+
+# the flagship: pruned to two key ranges, a co-located join, an aggregate
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by shard and order priority for orders of a key interval."""
+    e = demo(spark, sf_dir)
+    orders = e.where("orders", "o_orderkey >= 600 AND o_orderkey < 9000", shard=True)
+    lines = e.where("lineitem", "l_orderkey >= 600 AND l_orderkey < 9000")
+    joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return joined.groupBy(F.col("__shard").alias("shard"), "o_orderpriority").agg(F.round(revenue, 2).alias("revenue"), F.count("*").alias("n"))
+
+
+_QUERIES["flagship"] = flagship
+_ORACLES["flagship"] = f"""SELECT {_ladder('o_orderkey', ORD)} AS shard, o_orderpriority, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey >= 600 AND o_orderkey < 9000 GROUP BY ALL"""
+
+
+# scans and routing
+
+
+@query("scan_with_shard", f"SELECT 'shard ' || {_ladder('o_orderkey', ORD)} AS shard, o_orderkey, o_custkey, o_orderstatus FROM orders")
+def _(e):
+    return e.provenance("orders").select("shard", "o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("route_identity", f"SELECT l_orderkey, l_linenumber, {_ladder('l_orderkey', ORD)} AS shard FROM lineitem")
+def _(e):
+    return e.table("lineitem", shard=True).select("l_orderkey", "l_linenumber", F.col("__shard").alias("shard"))
+
+
+@query("route_composite", f"SELECT event_id, user_id, event_type, {_EVT} AS shard FROM events")
+def _(e):
+    return e.table("events", shard=True).select("event_id", "user_id", "event_type", F.col("__shard").alias("shard"))
+
+
+@query("route_murmur_int", f"SELECT c_custkey, h, {_ladder('h', HASHED)} AS shard FROM ({_hash_sql('SELECT c_custkey FROM customer', 'c_custkey')})")
+def _(e):
+    df = hashing.with_hash(e.table("customer", shard=True), "c_custkey", "integer", "murmur", "h")
+    return df.select("c_custkey", "h", F.col("__shard").alias("shard"))
+
+
+@query("route_city_int", f"SELECT c_custkey, h FROM ({_hash_sql('SELECT c_custkey FROM customer', 'c_custkey', 'city')})")
+def _(e):
+    return hashing.with_hash(e.tables["customer"].select("c_custkey"), "c_custkey", "integer", "city", "h")
+
+
+def _value_map(values, method: str) -> str:
+    return ", ".join(f"('{v}', {hashing.hash_value(v, 'varchar', method)})" for v in values)
+
+
+_TYPES, _SOURCES = ("click", "error", "purchase", "signup", "view"), tuple(f"src{i}" for i in range(20))
+
+
+@query("route_murmur_varchar", f"SELECT d.doc_id, m.h, {_ladder('m.h', (0, 2 * QUARTER), ('sh1', 'sh2'))} AS shard FROM documents d JOIN (VALUES {_value_map(_SOURCES, 'murmur')}) m(source, h) USING (source)")
+def _(e):
+    df = hashing.with_hash(e.table("documents", shard=True).select("doc_id", "source", "__shard"), "source", "varchar", "murmur", "h")
+    return df.select("doc_id", "h", F.col("__shard").alias("shard"))
+
+
+@query("route_city_varchar", f"SELECT e.event_type, m.h, count(*) AS n FROM events e JOIN (VALUES {_value_map(_TYPES, 'city')}) m(event_type, h) USING (event_type) GROUP BY ALL")
+def _(e):
+    kinds = e.tables["events"].groupBy("event_type").agg(F.count("*").alias("n"))
+    return hashing.with_hash(kinds, "event_type", "varchar", "city", "h").select("event_type", "h", "n")
+
+
+@query("route_expression", f"SELECT l_orderkey, l_linenumber, h, {_ladder('h', HASHED)} AS shard FROM ({_pair_sql('SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem', 'l_partkey', 'l_suppkey')})")
+def _(e):
+    df = hashing.with_expression_hash(e.table("lineitem_ps", shard=True), [("l_partkey", "integer"), ("l_suppkey", "integer")], "h")
+    return df.select("l_orderkey", "l_linenumber", "h", F.col("__shard").alias("shard"))
+
+
+@query("route_default_shard", "SELECT p_partkey, CASE WHEN p_partkey >= 1000 THEN 'sh3' WHEN p_partkey >= 100 THEN 'sh2' ELSE 'sh1' END AS shard FROM part")
+def _(e):
+    e.meta.create_distribution("ds_part", ["integer"], "sh1")
+    e.meta.create_range("high", (1000,), "sh3", "ds_part")
+    e.meta.create_range("low", (100,), "sh2", "ds_part")
+    del e.meta.references["part"]
+    e.meta.attach("ds_part", Relation("part", [KeyColumn("p_partkey")]))
+    return e.table("part", shard=True).select("p_partkey", F.col("__shard").alias("shard"))
+
+
+@query("route_many_ranges", "SELECT o_orderkey, 'r' || CAST(o_orderkey // 100 AS VARCHAR) AS key_range FROM orders WHERE o_orderkey < 15000")
+def _(e):
+    e.meta.create_distribution("many", ["integer"])
+    for i in reversed(range(150)):
+        e.meta.ranges[f"r{i}"] = type(e.meta.range("ds_ord_1"))(f"r{i}", "many", SHARDS[i % 4], (i * 100,))
+    e.meta.detach("ds_ord", "orders")
+    e.meta.attach("many", Relation("orders", [KeyColumn("o_orderkey")]))
+    df = e.table("orders", key_range=True).where("o_orderkey < 15000")
+    return df.select("o_orderkey", F.col("__key_range").alias("key_range"))
+
+
+@query("route_key", "SELECT 'sh3' AS shard_id")
+def _(e):
+    return e.route_key("ds_ord", 7000)
+
+
+@query("equal_split_ranges", "SELECT * FROM (VALUES ('ds1-0', 'sh1', 4611686018427387901), ('ds1-1', 'sh2', -2), ('ds1-2', 'sh3', -4611686018427387905), ('ds1-3', 'sh4', CAST('-9223372036854775808' AS BIGINT))) t(key_range_id, shard_id, lower_bound)")
+def _(e):
+    e.meta.create_distribution("ds1", ["integer"])
+    made = e.meta.equal_split("ds1")
+    return e.spark.createDataFrame([(r.id, r.shard, r.lower[0]) for r in made], "key_range_id string, shard_id string, lower_bound long")
+
+
+# pruning
+
+
+def _pruned(name: str, columns: str, table: str, where: str) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: demo(spark, sf_dir).where(table, where).selectExpr(*columns.split(", "))
+    _ORACLES[name] = f"SELECT {columns} FROM {table} WHERE {where}"
+
+
+_pruned("prune_point", "o_orderkey, o_totalprice", "orders", "o_orderkey = 777")
+_pruned("prune_in", "o_orderkey, o_custkey", "orders", "o_orderkey IN (1, 499, 500, 9999, 12000)")
+_pruned("prune_range", "l_orderkey, l_linenumber, l_quantity", "lineitem", "l_orderkey BETWEEN 450 AND 620")
+_pruned("prune_or", "o_orderkey, o_orderstatus", "orders", "o_orderkey < 20 OR o_orderkey >= 14000")
+_pruned("prune_or_other", "o_orderkey, o_orderstatus", "orders", "o_orderkey = 5 OR o_orderstatus = 'F'")
+_pruned("prune_and_conflict", "o_orderkey, o_custkey", "orders", "o_orderkey = 15 AND o_orderkey = 1")
+_pruned("prune_not", "o_orderkey, o_custkey", "orders", "NOT o_orderkey > 40")
+_pruned("prune_composite", "event_id, user_id, event_type", "events", "user_id = 5 AND event_type = 'signup'")
+_pruned("prune_composite_prefix", "event_id, user_id, event_type", "events", "user_id <= 5")
+_pruned("prune_hashed", "c_custkey, c_name", "customer", "c_custkey = 42")
+
+
+@query("prune_plan", "SELECT 'Scatter' AS plan, s AS shard_id FROM (VALUES ('sh2'), ('sh3')) t(s)")
+def _(e):
+    return e.explain("orders", "o_orderkey >= 600 AND o_orderkey < 9000")
+
+
+@query("hint_execute_on", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 500 AND o_orderkey < 5000")
+def _(e):
+    return e.sql("/* execute_on: sh2 */ SELECT o_orderkey, o_custkey FROM orders")
+
+
+@query("hint_sharding_key", "SELECT count(*) AS n, sum(o_totalprice) > 0 AS positive FROM orders WHERE o_orderkey >= 5000 AND o_orderkey < 10000")
+def _(e):
+    return e.sql("/* sharding_key: 7000, distribution: ds_ord */ SELECT count(*) AS n, sum(o_totalprice) > 0 AS positive FROM orders")
+
+
+same("scatter_count", "SELECT count(*) AS n FROM orders WHERE o_orderkey > 3", "/* scatter_query: true */ ")
+same("values_scan", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) t(a, b)")
+
+
+@query("catalog_columns", "SELECT * FROM (VALUES ('nation', 'n_nationkey', 1, 'int'), ('nation', 'n_name', 2, 'string'), ('nation', 'n_regionkey', 3, 'int'), ('region', 'r_regionkey', 1, 'int'), ('region', 'r_name', 2, 'string')) t(table_name, column_name, ordinal_position, data_type)")
+def _(e):
+    return remote.columns(e).where(F.col("table_name").isin("nation", "region"))
+
+
+@query("catalog_tables", "SELECT * FROM (VALUES ('region', 'reference'), ('nation', 'reference'), ('customer', 'distributed'), ('supplier', 'reference'), ('part', 'reference'), ('orders', 'distributed'), ('lineitem', 'distributed'), ('events', 'distributed'), ('documents', 'distributed'), ('orders_by_cust', 'distributed'), ('lineitem_ps', 'distributed')) t(table_name, kind)")
+def _(e):
+    return remote.tables(e)
+
+
+@query("execute_text", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def _(e):
+    return remote.execute_text(e, "SELECT 1; SELECT n_nationkey, n_name FROM nation")
+
+
+@query("prepared_statement", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 99")
+def _(e):
+    return e.prepare("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = :key")({"key": 99})
+
+
+# joins
+
+same("join_colocated", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000")
+same("join_colocated_left", "SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+same("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+same("join_full", "SELECT count(*) AS n, count(o_orderkey) AS left_rows, count(c_custkey) AS right_rows FROM orders FULL JOIN customer ON o_orderkey = c_custkey")
+
+
+@query("join_reference", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(e):
+    n = e.reference("nation")
+    return e.table("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+
+
+@query("join_reference_chain", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def _(e):
+    df = e.table("customer").join(e.reference("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return df.join(e.reference("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+
+
+same("join_cross_distribution", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
+same("join_values_cte", "WITH v(id) AS (VALUES (10), (20), (25), (700)) SELECT v.id, o_custkey FROM v JOIN orders ON o_orderkey = v.id")
+same("join_values_cte_left", "WITH v(id) AS (VALUES (10), (-20), (25)) SELECT v.id, o_orderkey FROM v LEFT JOIN orders ON o_orderkey = v.id")
+same("join_values_cte_right", "WITH v(id) AS (VALUES (10), (20), (25)) SELECT v.id, o_orderkey FROM v RIGHT JOIN orders ON o_orderkey = v.id WHERE o_orderkey < 40")
+same("join_self", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+same("join_non_equi", "SELECT a.r_name AS x, b.r_name AS y FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
+same("join_lateral", "SELECT r_name, t.n FROM region, LATERAL (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey) t")
+same("multi_relation_from", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
+
+
+@query("join_self_shard_local", f"WITH o AS (SELECT o_orderkey, {_ladder('o_orderkey', ORD)} AS s FROM orders WHERE o_orderkey IN (1, 10, 600, 610, 6000)) SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM o a JOIN o b ON a.s = b.s")
+def _(e):
+    df = e.where("orders", "o_orderkey IN (1, 10, 600, 610, 6000)", shard=True).select("o_orderkey", "__shard")
+    return df.alias("a").join(df.alias("b"), "__shard").select(F.col("a.o_orderkey").alias("x"), F.col("b.o_orderkey").alias("y"))
+
+
+same("semi_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+same("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+
+
+@query("range_lookup_join", f"SELECT o_orderkey, {_ladder('o_orderkey', ORD, tuple(f'ds_ord_{i}' for i in range(1, 5)))} AS key_range_id FROM orders")
+def _(e):
+    own = e.meta.sorted_ranges("ds_ord")
+    upper = [r.lower[0] for r in own[1:]] + [None]
+    ranges = e.spark.createDataFrame([(r.id, r.lower[0], u) for r, u in zip(own, upper, strict=True)], "key_range_id string, lo long, hi long")
+    inside = (F.col("o_orderkey") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("o_orderkey") < F.col("hi")))
+    return e.tables["orders"].join(F.broadcast(ranges), inside).select("o_orderkey", "key_range_id")  # as many rows as key ranges
+
+
+# aggregates
+
+same("agg_count_forms", "SELECT count(*) AS a, count(1) AS b, count(o_orderkey) AS c, count(DISTINCT o_custkey) AS d FROM orders")
+same("agg_min_max_sum", "SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders")
+same("agg_group_by_multi", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus")
+same("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+same("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+same("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+
+
+@query("agg_partial_per_shard", f"SELECT {_ladder('o_orderkey', ORD)} AS shard, count(*) AS n FROM orders GROUP BY ALL")
+def _(e):
+    df, shard = e.shard_local("orders")
+    return df.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"))
+
+
+_KR = tuple(f"ds_ord_{i}" for i in range(1, 5))
+
+
+@query("key_stats", f"SELECT 'orders' AS relation, {_ladder('o_orderkey', ORD, _KR)} AS key_range_id, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'lineitem', {_ladder('l_orderkey', ORD, _KR)}, count(*) FROM lineitem GROUP BY ALL")
+def _(e):
+    return stats.key_stats(e, "ds_ord")
+
+
+@query("biggest_relation", "SELECT 'lineitem' AS relation, l.n, l.n / (l.n + o.n) AS share FROM (SELECT count(*) AS n FROM lineitem) l, (SELECT count(*) AS n FROM orders) o")
+def _(e):
+    return stats.biggest_relation(e, "ds_ord")
+
+
+@query("size_by_key_range", f"SELECT {_ladder('h', HASHED, tuple(f'ds_cust_{i}' for i in range(1, 5)))} AS key_range_id, CAST(sum(length(c_name)) AS BIGINT) AS size, count(*) AS n FROM ({_hash_sql('SELECT c_custkey, c_name FROM customer', 'c_custkey')}) GROUP BY ALL")
+def _(e):
+    df = e.table("customer", key_range=True)
+    return df.groupBy(F.col("__key_range").alias("key_range_id")).agg(F.sum(F.octet_length("c_name").cast("long")).alias("size"), F.count("*").alias("n"))
+
+
+_EVT_KR = _EVT.replace("'sh", "'ds_evt_")
+
+
+@query("cpu_by_key_range", f"SELECT {_EVT_KR} AS key_range_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS load FROM events WHERE ts >= TIMESTAMP '1900-01-01' AND ts < TIMESTAMP '2100-01-01' GROUP BY ALL")
+def _(e):
+    since, until = F.lit("1900-01-01").cast("timestamp_ntz"), F.lit("2100-01-01").cast("timestamp_ntz")
+    return stats.load(e, "events", "props", "$.k", "ts", since, until)
+
+
+@query("quantiles", "SELECT q AS quantile, quantile_cont(o_totalprice, q) AS value FROM orders, (VALUES (0.5), (0.75), (0.99)) t(q) GROUP BY q".replace("quantile_cont(o_totalprice, q)", "CASE q WHEN 0.5 THEN quantile_cont(o_totalprice, 0.5) WHEN 0.75 THEN quantile_cont(o_totalprice, 0.75) ELSE quantile_cont(o_totalprice, 0.99) END").replace("SELECT q AS quantile", "SELECT CAST(q AS DOUBLE) AS quantile"))
+def _(e):
+    return stats.quantiles(e.tables["orders"], "o_totalprice", [0.5, 0.75, 0.99], exact=True)
+
+
+# order, limits, windows
+
+same("order_by_global", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 700 ORDER BY o_totalprice, o_orderkey")
+same("limit_after_order", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+same("offset_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 5")
+same("order_desc_multi", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey ASC LIMIT 50")
+same("window_rank", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders")
+
+
+@query("window_lead_ranges", "SELECT * FROM (VALUES ('ds_ord_1', 0, 500), ('ds_ord_2', 500, 5000), ('ds_ord_3', 5000, 10000), ('ds_ord_4', 10000, NULL)) t(key_range_id, lo, hi)")
+def _(e):
+    df = e.spark.createDataFrame([(r.id, r.distribution, int(r.lower[0])) for r in e.meta.sorted_ranges("ds_ord")], "key_range_id string, distribution_id string, lo int")
+    return df.select("key_range_id", "lo", F.lead("lo").over(Window.partitionBy("distribution_id").orderBy("lo")).alias("hi"))
+
+
+def _bounds_sql(order: str) -> str:
+    return f"SELECT bound, n FROM (SELECT o_orderkey AS bound, CAST(row_number() OVER (ORDER BY o_orderkey {order}) AS INTEGER) AS n FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey {order} LIMIT 1000)) WHERE n % 100 = 0"
+
+
+@query("split_bounds_left", _bounds_sql("ASC"))
+def _(e):
+    return movement.split_bounds(e.tables["orders"], "o_orderkey", 100, 1000)
+
+
+@query("split_bounds_right", _bounds_sql("DESC"))
+def _(e):
+    return movement.split_bounds(e.tables["orders"], "o_orderkey", 100, 1000, left=False)
+
+
+# set operations
+
+_A, _B = "SELECT o_custkey AS k FROM orders WHERE o_orderkey < 900", "SELECT c_custkey AS k FROM customer WHERE c_custkey < 400"
+for _n, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL")):
+    same(f"set_{_n}", f"{_A} {_op} {_B}")
+
+
+@query("set_shard_local_except", f"SELECT k FROM (SELECT o_orderkey % 1000 AS k, {_ladder('o_orderkey', ORD)} AS s FROM orders EXCEPT SELECT l_orderkey % 1000, {_ladder('l_orderkey', ORD)} FROM lineitem WHERE l_linenumber = 3)")
+def _(e):
+    a = e.table("orders", shard=True).select((F.col("o_orderkey") % 1000).alias("k"), "__shard")
+    b = e.table("lineitem", shard=True).where("l_linenumber = 3").select((F.col("l_orderkey") % 1000).alias("k"), "__shard")
+    return a.subtract(b).select("k")
+
+
+# console
+
+_ORD_ROWS = "('ds_ord_1', 'sh1', 'ds_ord', '0', 'false', '500', '0.00%'), ('ds_ord_2', 'sh2', 'ds_ord', '500', 'false', '5000', '0.00%'), ('ds_ord_3', 'sh3', 'ds_ord', '5000', 'false', '10000', '0.00%'), ('ds_ord_4', 'sh4', 'ds_ord', '10000', 'false', '+inf', '50.00%')"
+_KEY_RANGES = f"(VALUES {_ORD_ROWS}) t(key_range_id, shard_id, distribution_id, lower_bound, locked, next_lower_bound, coverage)"
+
+
+@query("show_key_ranges", f"SELECT key_range_id, shard_id, distribution_id, lower_bound, locked FROM {_KEY_RANGES}")
+def _(e):
+    return e.console("SHOW key_ranges WHERE distribution_id = 'ds_ord'")
+
+
+@query("show_key_ranges_extended", f"SELECT * FROM {_KEY_RANGES}")
+def _(e):
+    return e.console("SHOW key_ranges_extended WHERE distribution_id = ds_ord")
+
+
+@query("show_relations_filtered", "SELECT * FROM (VALUES ('customer', 'murmur'), ('orders_by_cust', 'murmur')) t(relation_name, m)".replace("SELECT *", "SELECT relation_name, 'ds_cust' AS distribution_id"))
+def _(e):
+    return e.console("SHOW relations (relation_name, distribution_id) WHERE distribution_id = 'ds_cust'")
+
+
+@query("show_group_by", "SELECT * FROM (VALUES ('sh1', '5'), ('sh2', '5'), ('sh3', '4'), ('sh4', '4')) t(shard_id, count)")
+def _(e):
+    return e.console("SHOW key_ranges GROUP BY shard_id")
+
+
+@query("show_order_desc", "SELECT * FROM (VALUES ('sh4'), ('sh3'), ('sh2'), ('sh1')) t(shard)")
+def _(e):
+    return e.console("SHOW shards ORDER BY shard DESC")
+
+
+@query("show_not", "SELECT * FROM (VALUES ('ds_cust', 'uinteger'), ('ds_expr', 'uinteger')) t(distribution_id, column_types)")
+def _(e):
+    return e.console("SHOW distributions (distribution_id, column_types) WHERE NOT column_types <> 'uinteger' AND NOT distribution_id = 'ds_ord'")
+
+
+@query("console_key_range_life", "SELECT * FROM (VALUES ('a', 'sh1', '0'), ('b', 'sh3', '50'), ('last', 'sh2', '100')) t(key_range_id, shard_id, lower_bound)")
+def _(e):
+    return e.console(
+        "CREATE DISTRIBUTION d (integer); CREATE KEY RANGE c FROM 100 ROUTE TO sh2 FOR DISTRIBUTION d; CREATE KEY RANGE a FROM 0 ROUTE TO sh1 FOR DISTRIBUTION d;"
+        "SPLIT KEY RANGE b FROM a BY 50; MOVE KEY RANGE b TO sh3; RENAME KEY RANGE c TO last; SHOW key_ranges (key_range_id, shard_id, lower_bound) WHERE distribution_id = d"
+    )
+
+
+@query("show_reference_relations", "SELECT * FROM (VALUES ('nation', 'sh1,sh2,sh3,sh4'), ('part', 'sh1,sh2,sh3,sh4'), ('region', 'sh1,sh2,sh3,sh4'), ('supplier', 'sh1,sh2,sh3,sh4')) t(table_name, shards)")
+def _(e):
+    return e.console("SHOW reference_relations (table_name, shards)")
+
+
+# modification
+
+
+@query("insert_batch_split", f"SELECT o_orderkey, o_custkey, {_ladder('o_orderkey', ORD)} AS shard FROM (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT * FROM (VALUES (20000001, 1), (20000002, 2)) t(a, b)) WHERE o_orderkey > 9990")
+def _(e):
+    dml.insert(e, "orders", e.spark.createDataFrame([(20000001, 1), (20000002, 2)], "o_orderkey long, o_custkey long"))
+    return e.where("orders", "o_orderkey > 9990", shard=True).select("o_orderkey", "o_custkey", F.col("__shard").alias("shard"))
+
+
+@query("insert_select", "SELECT count(*) AS n, max(o_orderkey) AS hi FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey + 30000000 FROM orders WHERE o_orderstatus = 'F')")
+def _(e):
+    rows = e.sql("SELECT o_orderkey + 30000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+    dml.insert(e, "orders", rows)
+    return e.sql("SELECT count(*) AS n, max(o_orderkey) AS hi FROM orders")
+
+
+@query("insert_auto_increment", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (102, 'X'), (103, 'Y')) t(a, b)")
+def _(e):
+    del e.meta.references["region"]
+    e.meta.create_reference("region", sequences={"r_regionkey": 101})
+    dml.insert(e, "region", e.spark.createDataFrame([("X",), ("Y",)], "r_name string"))
+    return e.sql("SELECT r_regionkey, r_name FROM region")
+
+
+@query("upsert", "SELECT c_custkey, CASE WHEN c_custkey < 10 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT 70000001, 'new'")
+def _(e):
+    old = e.tables["customer"]
+    new = old.where("c_custkey < 10").unionByName(old.where("c_custkey = 0").withColumn("c_custkey", F.lit(70000001).cast("long")))
+    dml.upsert(e, "customer", new.withColumn("c_mktsegment", F.lit("new")), ["c_custkey"])
+    return e.sql("SELECT c_custkey, c_mktsegment FROM customer")
+
+
+@query("update_where", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(e):
+    dml.update(e, "customer", {"c_acctbal": F.lit(0.0)}, F.col("c_acctbal") < 0)
+    return e.sql("SELECT c_custkey, c_acctbal FROM customer")
+
+
+@query("delete_where", "SELECT o_orderkey FROM orders WHERE NOT o_orderstatus = 'F'")
+def _(e):
+    dml.delete(e, "orders", F.col("o_orderstatus") == "F")
+    return e.sql("SELECT o_orderkey FROM orders")
+
+
+@query("split_update", f"SELECT k AS o_orderkey, {_ladder('k', ORD)} AS shard FROM (SELECT CASE WHEN o_orderkey < 300 THEN o_orderkey + 100000000 ELSE o_orderkey END AS k FROM orders)")
+def _(e):
+    dml.update(e, "orders", {"o_orderkey": F.col("o_orderkey") + 100000000}, F.col("o_orderkey") < 300)
+    return e.table("orders", shard=True).select("o_orderkey", F.col("__shard").alias("shard"))
+
+
+@query("update_returning", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 10")
+def _(e):
+    return dml.affected(e, "orders", F.col("o_orderkey") < 10).select("o_orderkey", "o_orderstatus")
+
+
+@query("unique_index_build", f"SELECT o_custkey, o_orderkey, {_ladder('h', HASHED)} AS shard FROM ({_hash_sql('SELECT o_custkey, o_orderkey FROM orders', 'o_custkey')})")
+def _(e):
+    e.meta.create_unique_index("ui", "orders", ["o_custkey"], ["integer"])
+    return dml.index_table(e, "ui").withColumnRenamed("__shard", "shard")
+
+
+@query("unique_index_violations", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def _(e):
+    return dml.violations(e.tables["orders"], ["o_custkey"])
+
+
+@query("copy_csv_routed", f"SELECT o_orderkey, o_orderpriority, {_ladder('o_orderkey', ORD)} AS shard FROM orders WHERE o_orderkey < 6000")
+def _(e):
+    lines = copying.lines_of(e.where("orders", "o_orderkey < 6000").select("o_orderkey", "o_orderpriority"), delimiter="|")
+    rows = copying.copy_from(e, "orders", lines, ["o_orderkey", "o_orderpriority"], delimiter="|")
+    return rows.select("o_orderkey", "o_orderpriority", F.col("__shard").alias("shard"))
+
+
+@query("copy_pinned", "SELECT o_orderkey, 'sh3' AS shard FROM orders WHERE o_orderkey < 50")
+def _(e):
+    lines = copying.lines_of(e.where("orders", "o_orderkey < 50").select("o_orderkey"), "csv")
+    return copying.copy_from(e, "orders", lines, ["o_orderkey"], "csv", execute_on="sh3").select("o_orderkey", F.col("__shard").alias("shard"))
+
+
+# movement
+
+
+@query("move_key_range", "SELECT CASE WHEN o_orderkey < 500 OR o_orderkey >= 10000 THEN 'sh4' WHEN o_orderkey >= 5000 THEN 'sh3' ELSE 'sh2' END AS shard, count(*) AS n FROM orders GROUP BY ALL")
+def _(e):
+    movement.move(e, "ds_ord_1", "sh4")
+    return e.table("orders", shard=True).groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query("unite_after_split", "SELECT * FROM (VALUES ('ds_ord_1', '0'), ('ds_ord_2', '500'), ('ds_ord_3', '5000'), ('ds_ord_4', '10000')) t(key_range_id, lower_bound)")
+def _(e):
+    e.meta.split("part", "ds_ord_2", (700,))
+    e.meta.unite("ds_ord_2", "part")
+    return e.console("SHOW key_ranges (key_range_id, lower_bound) WHERE distribution_id = ds_ord")
+
+
+@query("redistribute_batches", "SELECT CASE WHEN o_orderkey >= 10000 THEN 'sh4' WHEN o_orderkey >= 5000 THEN 'sh3' WHEN o_orderkey >= 500 THEN 'sh2' ELSE 'sh3' END AS shard, count(*) AS n FROM orders GROUP BY ALL")
+def _(e):
+    e.meta.detach("ds_ord", "lineitem")
+    movement.redistribute(e, "ds_ord_1", "sh3", batch=200)
+    return e.table("orders", shard=True).groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query("balancer_plan", "SELECT 'k1' AS key_range, 'a' AS source, 'b' AS shard, 40 AS keys, 'right' AS \"join\"")
+def _(e):
+    loads = [("k1", "a", "d", 100, {"cpu": 100.0}), ("k2", "b", "d", 10, {"cpu": 10.0}), ("k3", "c", "d", 5, {"cpu": 1.0})]
+    step = movement.balance(loads, {"cpu": 60.0})
+    return e.spark.createDataFrame([(step.key_range, step.source, step.shard, step.keys, step.join)], "key_range string, source string, shard string, keys int, join string")
+
+
+# target lists and common table expressions
+
+same("scalar_subqueries_target_list", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey < 100) AS a, coalesce((SELECT max(o_orderkey) FROM orders WHERE o_orderkey < 0), -1) AS b, (SELECT min(c_custkey) FROM customer) AS c")
+same("cte_chain", "WITH v(id) AS (VALUES (10), (600), (7000)), w AS (SELECT o_orderkey, o_custkey FROM orders JOIN v ON o_orderkey = v.id) SELECT w.o_orderkey, c_name FROM w JOIN customer ON c_custkey = w.o_custkey")
+same("constants", "SELECT 1 AS a, 'x' AS b, TRUE AS c")
+same("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_ORACLES)
