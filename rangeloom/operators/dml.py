@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rangeloom.functions.hashing import with_hash
-from rangeloom.operators.routing import ladder, placed
+from rangeloom.operators.routing import ladder, with_shard
 from rangeloom.plans.model import HASH_SPACE, KeyRange, MetadataError
 
 
@@ -47,10 +47,8 @@ def insert(engine, name: str, rows: DataFrame, columns: list[str] | None = None)
             rows = numbered(engine, rows, column, sequences[column]) if column in sequences else rows.withColumn(column, F.lit(None).cast(target.schema[column].dataType))
     rows = rows.select(*(F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns))
     if _distributed(engine, name):
-        # the routed shard takes part in a row's first column, so that the check isn't pruned away
-        checked = placed(rows, engine.meta, name)
-        first = target.columns[0]
-        rows = checked.select(F.when(F.col("__shard").isNotNull(), F.col(first)).alias(first), *target.columns[1:])
+        if not with_shard(rows, engine.meta, name).where("__shard is null").isEmpty():
+            raise MetadataError(f"a key of {name} is null or has no key range")
     after = target.unionByName(rows)
     for index in engine.meta.indexes.values():
         if index.relation == name and not violations(after, index.columns).isEmpty():
