@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ SHARDS = ("sh1", "sh2", "sh3", "sh4")
 QUARTER = 1 << 30
 
 
+@functools.lru_cache(maxsize=8)
+def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a folder; their schemas and file lists are read once a session."""
+    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
+
+
 def demo(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine over the tables: five distributions on four shards and four reference tables."""
     meta = Metadata(SHARDS)
@@ -44,8 +52,8 @@ def demo(spark: SparkSession, sf_dir: str) -> Engine:
     for name in ("region", "nation", "supplier", "part"):
         meta.create_reference(name)
     engine = Engine(spark, meta)
-    for name in TABLES:
-        engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    for name, df in frames(spark, sf_dir).items():
+        engine.register(name, df)
     engine.register("orders_by_cust", engine.tables["orders"])
     engine.register("lineitem_ps", engine.tables["lineitem"])
     return engine
