@@ -190,3 +190,40 @@ def test_balance():
     assert (step.shard, step.keys, step.join) == ("c", 40, "none")
     assert movement.balance(loads, {"cpu": 200.0, "space": 100.0}) is None
     assert movement.balance([loads[0], ("k2", "b", "d", 1, {"cpu": 55.0})], {"cpu": 60.0, "space": 100.0}).keys == 5
+
+
+def test_sql_statements(engine):
+    q = lambda text: [tuple(r) for r in engine.sql(text).collect()]
+    engine.sql("DELETE FROM t WHERE id < 0 OR id IS NULL")
+    assert q("INSERT INTO t (id, s) VALUES (500, 'a, (b'), (501, NULL) RETURNING id, j") == [(500, None), (501, None)]
+    assert q("UPDATE t SET j = id + 1, s = concat(s, '!') WHERE id = 500 RETURNING j, s") == [(501, "a, (b!")]
+    engine.sql("INSERT INTO t (id, j, s) VALUES (500, 7, 'x'), (502, 8, 'y') ON CONFLICT (id) DO UPDATE SET j = excluded.j + t.j")
+    assert q("SELECT id, j, s FROM t WHERE id >= 500 ORDER BY id") == [(500, 508, "a, (b!"), (501, None, None), (502, 8, "y")]
+    engine.sql("INSERT INTO t SELECT id + 1000, j, s FROM t WHERE id = 502")
+    assert q("DELETE FROM t WHERE id > 1000 RETURNING id") == [(1502,)]
+    engine.sql("SET __x__.allow_split_update = off")
+    engine.sql("UPDATE t SET id = id WHERE id = 500")
+    with pytest.raises(MetadataError, match="key columns"):
+        engine.sql("UPDATE t SET id = j")
+    engine.sql("PREPARE p (int) AS SELECT id FROM t WHERE id = $1 OR s = $2")
+    assert q("EXECUTE p(501, 'none')") == [(501,)]
+    engine.sql("DEALLOCATE p")
+    with pytest.raises(MetadataError):
+        engine.sql("EXECUTE p(1, 2)")
+    engine.sql("BEGIN")
+    engine.sql("SET auto_distribution = d; ".rstrip("; "))
+    engine.sql("SET distribution_key TO 'k'")
+    engine.sql("CREATE TABLE fresh (k INT PRIMARY KEY, v VARCHAR(10) NOT NULL, w double precision, PRIMARY KEY (k))")
+    engine.sql("INSERT INTO fresh VALUES (150, 'x', 1.5)")
+    assert engine.table("fresh", shard=True).first()["__shard"] == "sh2" and dict(engine.tables["fresh"].dtypes) == {"k": "int", "v": "string", "w": "double"}
+    engine.sql("TRUNCATE fresh")
+    engine.sql("DROP TABLE fresh")
+    engine.sql("DROP TABLE IF EXISTS fresh")
+    assert q("SELECT __x__route_key('d', '150')") == [("sh2",)] and ("sh4",) in q("SELECT __x__shards()")
+    assert q("SELECT * FROM __x__show('shards')")[0] == ("sh1",) and q("SELECT __x__is_ready()") == [(True,)]
+    assert engine.sql("SELECT * FROM __x__ctid('t')").columns[0] == "shard"
+    assert q("SELECT pg_is_in_recovery() AS r") == [(False,)]
+    before = engine.tables["ref"].count()
+    log = engine.spark.createDataFrame([(1, "INSERT INTO ref VALUES (7, 'z')"), (0, "SELECT 1")], "n long, statement string")
+    assert engine.replay(log) == 2 and engine.tables["ref"].count() == before + 1
+    assert engine.workload().where("statement = 'BEGIN'").count() == 1
