@@ -84,16 +84,21 @@ def word_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarra
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     row, code, weight, norm = features(landmarks)
-    dense = np.zeros((len(landmarks), BASE**3), np.float32)
-    np.add.at(dense, (row, code), weight / norm[row])
+    used = np.unique(code)
+    place = np.full(BASE**3, -1, np.int32)
+    place[used] = np.arange(used.size)
+    dense = np.zeros((used.size, len(landmarks)), np.float32)
+    np.add.at(dense, (place[code], row), weight / norm[row])
     out = np.zeros((len(words), len(landmarks)), np.float32)
     row, code, weight, norm = features(words)
-    order = np.argsort(row, kind="stable")
-    row, code, weight = row[order], code[order], weight[order]
-    for i in range(0, row.size, 100_000):
-        part = dense[:, code[i : i + 100_000]].T * (weight[i : i + 100_000] / norm[row[i : i + 100_000]])[:, None]
-        first = np.flatnonzero(np.diff(row[i : i + 100_000], prepend=-1))
-        out[row[i : i + 100_000][first]] += np.add.reduceat(part, first, axis=0)
+    at = place[code]
+    shared = np.flatnonzero(at >= 0)
+    shared = shared[np.argsort(row[shared], kind="stable")]
+    for i in range(0, shared.size, 50_000):
+        part = shared[i : i + 50_000]
+        r = row[part]
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        out[r[first]] += np.add.reduceat(dense[at[part]] * (weight[part] / norm[r])[:, None], first, axis=0)
     return out
 
 
@@ -193,7 +198,11 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
     score = _first_scores([*toxic, *clean], np.array([1] * len(toxic) + [0] * len(clean)), vocabulary)
     weights, bias = np.zeros(BASE**3, np.float32), -1.0
     for _ in range(ROUNDS):
-        votes = np.bincount(np.concatenate([b[np.argsort(-score[b])[:WITNESSES]] for b in toxic]), minlength=len(vocabulary)) if toxic else np.zeros(len(vocabulary), np.int64)
+        # beyond its best word a toxic text witnesses with words that hardly any clean text has the like of
+        border = np.quantile([score[b].max() for b in clean], 0.95) if clean else np.inf
+        picked = [b[np.argsort(-score[b])[:WITNESSES]] for b in toxic]
+        picked = [np.concatenate([w[:1], w[1:][score[w[1:]] > border]]) for w in picked]
+        votes = np.bincount(np.concatenate(picked), minlength=len(vocabulary)) if toxic else np.zeros(len(vocabulary), np.int64)
         hard = np.unique(np.concatenate([b[np.argsort(-score[b])[:WITNESSES]] for b in clean])) if clean else np.zeros(0, np.int64)
         seen_clean = np.unique(np.concatenate(clean)) if clean else np.zeros(0, np.int64)
         other = rng.choice(seen_clean, min(2500, seen_clean.size), replace=False) if seen_clean.size else seen_clean
@@ -253,7 +262,7 @@ def classify(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id")
 
     def run(batches):
         scores = _scorer(shared.value) if shared.value is not None else lambda texts: [0.0] * len(texts)
-        for b in sliced(batches, 4 << 20):
+        for b in sliced(batches, 2 << 20):
             s = scores(strings(b.column(1)))
             yield record_batch(FIELDS, [b.column(0), s, [int(x >= THRESHOLD) for x in s]])
 
