@@ -2,8 +2,8 @@
 
 Seeds are runs of ``K`` words, winnowed (the least hash of every ``SPAN`` neighbouring runs), so that each shared run of
 ``K + SPAN - 1`` words shares a seed. Within a task's batch the occurrences of a seed are linked to the batch's first
-one; only that one is shuffled, and linked to the first of all. A seed of a hot passage thus costs one shuffled row a batch
-and one link an occurrence, never all pairs. The seeds that two documents share are chained in order of both positions,
+one and to the first of all, which the batches' first ones settle among themselves. A seed of a hot passage thus costs two
+links an occurrence, never all pairs. The seeds that two documents share are chained in order of both positions,
 with costs for gaps, through a Fenwick tree of prefix maxima. Chains are aligned word by word between and beyond their
 seeds; aligned passages of at least ``LEAST`` words and ``SIMILAR`` equal words are reported on the later document.
 
@@ -108,11 +108,14 @@ def seeds(texts: list[bytes]):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """hash, doc, pos of each batch's first occurrence of a seed, and doc, pos, ref, ref_pos of the others."""
+    """hash, doc, pos of all occurrences of seeds that are a batch's first or repeat it in another document.
+
+    The latter have ref, ref_pos: the batch's first occurrence.
+    """
     fields = [("hash", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ref", pa.int64()), ("ref_pos", pa.int32())]
 
     def run(batches):
-        for b in sliced(batches, 8 << 20):
+        for b in sliced(batches, 4 << 20):
             h, owner, place = seeds(utf8(b.column(1)))
             if not h.size:
                 continue
@@ -120,15 +123,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
             value, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             lead = first[inverse]
             other = np.flatnonzero(ids[lead] != ids)
-            n, m = value.size, other.size
+            rows, n = np.concatenate([first, other]), value.size
+            firsts = np.arange(rows.size) < n
             yield record_batch(
                 fields,
                 [
-                    pa.array(np.concatenate([value.view(np.int64), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
-                    np.concatenate([ids[first], ids[other]]),
-                    np.concatenate([place[first], place[other]]).astype(np.int32),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), ids[lead[other]]]), mask=np.arange(n + m) < n),
-                    pa.array(np.concatenate([np.zeros(n, np.int32), place[lead[other]].astype(np.int32)]), mask=np.arange(n + m) < n),
+                    h[rows].view(np.int64),
+                    ids[rows],
+                    place[rows].astype(np.int32),
+                    pa.array(ids[lead[rows]], mask=firsts),
+                    pa.array(place[lead[rows]].astype(np.int32), mask=firsts),
                 ],
             )
 
@@ -136,12 +140,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def anchors(found: DataFrame) -> DataFrame:
-    """doc, ref, pos, ref_pos: each occurrence of a shared seed and an earlier one in another document."""
-    near = found.where("hash is null").select("doc", "ref", "pos", "ref_pos")
+    """doc, ref, pos, ref_pos: each occurrence of a shared seed with the first of its batch and the first of all.
+
+    Only batches' first occurrences meet in a window; the others look the first of all up by a join on the hash.
+    """
+    first, near = found.where("ref is null").select("hash", "doc", "pos"), found.where("ref is not null")
     w = Window.partitionBy("hash").orderBy("doc", "pos")
-    lead = F.first(F.struct("doc", "pos")).over(w)
-    far = found.where("hash is not null").select("doc", "pos", lead.alias("lead")).where("lead.doc <> doc")
-    return near.union(far.select("doc", F.col("lead.doc"), "pos", F.col("lead.pos")))
+    ranked = first.withColumn("lead", F.first(F.struct("doc", "pos")).over(w)).where("lead.doc <> doc")
+    ranked = materialize(ranked, "leads")
+    pick = lambda d: d.select("doc", F.col("lead.doc").alias("ref"), "pos", F.col("lead.pos").alias("ref_pos"))
+    leads = ranked.groupBy("hash").agg(F.first("lead").alias("lead"))
+    through = near.select("hash", "doc", "pos").join(leads, "hash").where("lead.doc <> doc")
+    return near.select("doc", "ref", "pos", "ref_pos").union(pick(ranked)).union(pick(through))
 
 
 def chains(pos: np.ndarray, ref: np.ndarray) -> list[np.ndarray]:
@@ -236,7 +246,7 @@ def words(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     def run(batches):
-        for b in sliced(batches, 4 << 20):
+        for b in sliced(batches):
             keep = np.flatnonzero(member(shared.value, b.column(2).to_numpy(zero_copy_only=False)))
             if not keep.size:
                 continue
