@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+#: Bounds of a batch on its way to Python, where the session has the defaults: long texts would make it very large.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+ARROW_DEFAULTS = ("10000", "64MB", "67108864b")
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python once per application, wherever it was imported from."""
+    for name, value in ARROW.items():
+        if spark.conf.get(name, None) in (None, *ARROW_DEFAULTS):
+            spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -68,7 +74,7 @@ def crc_mod(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def sliced(batches, max_bytes: int = 8 << 20):
+def sliced(batches, max_bytes: int = 1 << 20):
     """Re-slice Arrow batches so that one slice holds about ``max_bytes``; a longer single row stays whole."""
     for batch in batches:
         n = batch.num_rows
@@ -122,8 +128,3 @@ def complete_groups(batches, keys: int):
     if held is not None and held.num_rows:
         yield held, np.array([0, held.num_rows])
 
-
-def stacked(column, dtype, width: int | None = None) -> np.ndarray:
-    """Rows of a column of equally long binary values as a matrix."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)

@@ -103,7 +103,7 @@ def memberships(docs: DataFrame, model, keep=()) -> DataFrame:
 
     def run(batches):
         encode = encoder()
-        for b in sliced(batches, 2 << 20):
+        for b in sliced(batches, 1 << 19):
             texts = utf8(b.column(1))
             p = posteriors(texts, shared.value)
             yield record_batch(fields, [b.column(0), [len(encode(t.decode())) for t in texts], *p.T])
@@ -180,7 +180,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS) -> DataFrame:
     def change(batch, extras):
         if not batch.num_rows:
             return
-        p = np.concatenate([posteriors(utf8(b.column(0)), shared.value) for b in sliced([pa.RecordBatch.from_arrays([extras[0]], names=["t"])], 2 << 20)])
+        p = np.concatenate([posteriors(utf8(b.column(0)), shared.value) for b in sliced([pa.RecordBatch.from_arrays([extras[0]], names=["t"])], 1 << 19)])
         rate = _rates(p, steps)
         copies = np.floor(rate) + (extras[1].to_numpy(zero_copy_only=False) < rate - np.floor(rate))
         yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies.astype(np.int64))))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import complete_groups, discard, materialize, record_batch, stacked, table
+from rangeloom.llm.common import complete_groups, discard, materialize, record_batch, table
 from rangeloom.llm.graph import components
 
 THRESHOLD, SLACK = 0.93, 0.01

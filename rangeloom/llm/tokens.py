@@ -28,14 +28,18 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None):
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    slow = Tokenizer.from_file(vocabulary or public_tokenizers.path(VOCABULARY))
+
+    @functools.cache
+    def slow():  # a worker that meets no such text doesn't load it
+        return Tokenizer.from_file(vocabulary or public_tokenizers.path(VOCABULARY))
+
     with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={END: slow.token_to_id(END)})
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={END: len(merges)})
 
     def encode(text: str) -> np.ndarray:
         if (not text.isascii() and _OTHER.search(text)) or (len(text) >= LONGEST_RUN and _RUN.search(text)):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
 
     return encode
