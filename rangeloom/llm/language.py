@@ -2,7 +2,8 @@
 
 Defined cases. Null text, or text without a letter: ``und``, score 0. Every other text gets a learned language;
 ties go to the language with more training rows, then to the smaller name. Texts are scored whole, in blocks of
-``BLOCK`` folded bytes that are each encoded from the dictionary alone, so that long texts keep their evidence. An empty
+``BLOCK`` folded bytes that are each encoded from the dictionary alone, so that long texts keep their evidence; where the
+margin is narrow, the dictionaries' pieces that the words consist of are counted instead. An empty
 training set yields ``und`` for all. Repeated rows give repeated results; extra columns are ignored.
 """
 
@@ -10,13 +11,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import crc_mod, record_batch, strings, table
+from rangeloom.llm.common import crc_mod, record_batch, sliced, strings, table
 from rangeloom.llm.rows import rewritten
 
 #: Bounds of the fitted model: expected documents, characters of each and dictionary bytes, per language.
@@ -29,6 +31,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    m = _LETTER.search(text)  # also finds numbers that aren't decimal digits
+    return m is not None and (m.group().isalpha() or any(map(str.isalpha, text)))
+
+
 def folded(text: str) -> bytes:
     """What is encoded: lower case, each run of other characters than letters as one blank."""
     return _REST.sub(" ", text.lower()).encode("utf-8", "replace")
@@ -63,6 +70,17 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
     return model
 
 
+def phrases(word: bytes, data: bytes) -> int:
+    """Longest pieces of a dictionary, one after the other, that a word consists of; a foreign byte is a piece."""
+    n, at = 0, 0
+    while at < len(word):
+        size = 1
+        while at + size < len(word) and word[at : at + size + 1] in data:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
 def _scorer(model):
     params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     coders = []
@@ -74,7 +92,7 @@ def _scorer(model):
 
     def score(text: str):
         """(language, score, relative margin) of one text."""
-        if not names or not _LETTER.search(text):
+        if not names or not has_letter(text):
             return "und", 0.0, 0.0
         data = folded(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
@@ -84,6 +102,12 @@ def _scorer(model):
             return names[0], 1.0, 1.0
         second = min(s for k, s in enumerate(sizes) if k != best)
         gain = second - sizes[best]
+        if gain < MARGIN * len(data):
+            # too short, or too repetitive, for whole bytes: count the dictionary's pieces that the words consist of
+            words = Counter(data.split())
+            sizes = [sum(n * phrases(b" " + w + b" ", d) for w, n in words.items()) for _, d in model]
+            best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
+            gain = min(s for k, s in enumerate(sizes) if k != best) - sizes[best]
         return names[best], 1.0 / (1.0 + math.exp(-min(gain, 60) / 4.0)), gain / max(len(data), 1)
 
     return score
@@ -97,7 +121,7 @@ def identify(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id")
 
     def run(batches):
         score = _scorer(model)
-        for b in batches:
+        for b in sliced(batches):
             found = [score(t) for t in strings(b.column(1))]
             yield record_batch(FIELDS, [b.column(0), [x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [x[0] != "und" and x[2] >= MARGIN for x in found]])
 

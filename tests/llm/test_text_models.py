@@ -141,6 +141,10 @@ def test_language_held_out(spark):
     assert sum(found[i].lang_pred == x for i, x in truth.items()) >= 0.97 * len(truth)
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in ("", "²½ Ⅷ 12_", "²a", "日", "_", "é")] == [False, False, True, True, False, True]
+
+
 def test_language_of_odd_rows(spark, odd, none):
     model = language.fit(spark.createDataFrame(_language_rows(60, 2), "doc_id long, text string, lang string"))
     found = language.identify(odd, model).collect()
