@@ -125,7 +125,7 @@ def test_console(engine):
     with pytest.raises(MetadataError, match="CASCADE"):
         engine.console("DROP DISTRIBUTION u")
     engine.console("DROP DISTRIBUTION u CASCADE; DROP UNIQUE INDEX i; DROP REFERENCE TABLE z")
-    for target in ("version", "users", "task_groups", "move_tasks", "sequences", "errors", "file_settings", "time_quantiles"):
+    for target in ("version", "users", "task_groups", "move_tasks", "sequences", "errors", "file_settings", "time_quantiles", "prepared_statements", "hosts", "routers"):
         engine.console(f"SHOW {target}").collect()
     assert engine.console("HELP").count() > 10
 
