@@ -3,9 +3,9 @@
 Each of the 32 two-bit segments of a fingerprint is mapped to its bit count. The Manhattan distance of two such
 vectors never exceeds the fingerprints' Hamming distance, so a pair within four bits is within distance two in the first
 half of the vector or within distance one in the second. Distinct fingerprints are put into the grid cells around
-them (one step to either side, some 25 of the 2**25 cells of a half), joined by cell under the Manhattan bound
-and verified exactly in the join's condition, so only true links leave it. Counts are kept in unary code
-(0: 00, 1: 01, 2: 11), in which the Manhattan distance is the bit count of an exclusive or.
+them (some 38 of the cells of both halves), so that pairs within these Manhattan distances share a cell; cells are
+dealt out, and pairs of a cell verified exactly. Counts are kept in unary code (0: 00, 1: 01, 2: 11), in which the
+Manhattan distance is the bit count of an exclusive or.
 
 Defined cases. Null and blank texts have fingerprint zero, which links like any other. Copies share a fingerprint and are
 joined once. A null id gets no say in the component's id. An empty table gives no rows. Extra columns are ignored.
@@ -19,12 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import materialize, record_batch, sliced, table, utf8
+from rangeloom.llm.common import complete_groups, materialize, record_batch, sliced, table, utf8
 from rangeloom.llm.graph import components
 from rangeloom.llm.passages import word_hashes, words
 from rangeloom.llm.rows import without
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Members of a grid cell up to which all their links are listed.
+CELL = 12
+#: Members of a larger cell up to which its tree takes the closest pairs of all.
+TREE = 4096
 _LOW = 0x5555555555555555
 
 
@@ -64,20 +68,20 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _embedded(fps: DataFrame) -> DataFrame:
-    """Adds u: the segments' bit counts in unary code."""
-    low, x, shifted = F.lit(_LOW), F.col("fp"), F.shiftrightunsigned("fp", 1)
-    some, both = x.bitwiseOR(shifted).bitwiseAND(low), x.bitwiseAND(shifted).bitwiseAND(low)
-    return fps.withColumn("u", some.bitwiseOR(F.shiftleft(both, 1)))
+def _embedded(fp):
+    """The segments' bit counts of a fingerprint in unary code."""
+    low, shifted = F.lit(_LOW), F.shiftrightunsigned(fp, 1)
+    some, both = fp.bitwiseOR(shifted).bitwiseAND(low), fp.bitwiseAND(shifted).bitwiseAND(low)
+    return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _half(name: str, half: int):
+def _half(fp, half: int):
     """32 bits of a half of the embedding, as a long that is not negative."""
-    return F.shiftrightunsigned(F.col(name), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftrightunsigned(_embedded(fp), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _around(cell):
-    """The cell and its neighbours: one segment's count is one higher or lower."""
+def _around(cell, only_up: bool = False):
+    """The cell and its neighbours: one segment's count is one higher (or, unless ``only_up``, lower)."""
     one = F.lit(1).cast("long")
 
     def flip(i):
@@ -86,27 +90,106 @@ def _around(cell):
         set_partner = cell.bitwiseAND(partner) != 0
         # the low bit may change while the high one is clear, the high bit while the low one is set
         valid = F.when(i % 2 == 0, ~set_partner).otherwise(set_partner)
+        if only_up:
+            valid = valid & (cell.bitwiseAND(bit) == 0)
         return F.when(valid, cell.bitwiseXOR(bit))
 
     moved = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), flip), lambda c: c.isNotNull())
     return F.concat(F.array(cell), moved)
 
 
+def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64)) <= RADIUS  # signed numbers would be counted by their absolute value
+
+
+def _own_cell(fp: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The cell that a fingerprint has itself, of the second half where asked."""
+    x, low = fp.view(np.uint64), np.uint64(_LOW)
+    shifted = x >> np.uint64(1)
+    u = ((x | shifted) & low) | ((x & shifted & low) << np.uint64(1))
+    return np.where(second, (u >> np.uint64(32)) + np.uint64(1 << 32), u & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+
+def _nearest_tree(fp: np.ndarray):
+    """A tree of each component of a cell that takes the closest pairs first (Prim's algorithm)."""
+    left = np.arange(1, fp.size)
+    best, to = np.bitwise_count((fp[left] ^ fp[0]).view(np.uint64)), np.zeros(left.size, np.int64)
+    x, y = [], []
+    while left.size:
+        k = int(np.argmin(best))
+        at = left[k]
+        if best[k] <= RADIUS:
+            x.append(to[k])
+            y.append(at)
+        left, best, to = np.delete(left, k), np.delete(best, k), np.delete(to, k)
+        now = np.bitwise_count((fp[left] ^ fp[at]).view(np.uint64))
+        closer = now < best
+        best, to = np.where(closer, now, best), np.where(closer, at, to)
+    return fp[np.array(x, np.int64)], fp[np.array(y, np.int64)]
+
+
+def _search_tree(fp: np.ndarray):
+    """A tree of each component by breadth-first search: dense cells take few comparisons a member."""
+    rest, out = np.arange(fp.size), [(fp[:0], fp[:0])]
+    while rest.size:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and rest.size:
+            at = queue.pop()
+            hit = _close(fp[rest], fp[at])
+            if hit.any():
+                found = rest[hit]
+                out.append((np.full(found.size, fp[at]), fp[found]))
+                queue += found.tolist()
+                rest = rest[~hit]
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _reach(fp: np.ndarray):
+    """Links that connect all that can be reached within a large cell, one or two a member, close pairs first."""
+    fp = np.unique(fp)
+    if fp.size <= TREE:
+        return [_nearest_tree(fp)]
+    return [_search_tree(fp), *(_nearest_tree(fp[i : i + TREE]) for i in range(0, fp.size, TREE))]
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs of distinct fingerprints (columns node, fp) that differ in ``RADIUS`` bits or fewer."""
-    e = _embedded(fps)
-    distance = F.bit_count(F.col("a.c").bitwiseXOR(F.col("b.c")))
-    exact = (F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.u"))) <= RADIUS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
-    first = e.select("node", "fp", "u", _half("u", 0).alias("c"))
-    spread = first.select("node", "fp", "u", "c", F.explode(_around(F.col("c"))).alias("cell"))
-    meet = ((F.col("a.cell") == F.col("a.c")) & (distance <= 1)) | (distance == 2)
-    near = spread.alias("a").join(spread.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") < F.col("b.node")) & meet & exact)
-    second = e.select("node", "fp", "u", _half("u", 1).alias("c"))
-    probe = second.select("node", "fp", "u", "c", F.explode(_around(F.col("c"))).alias("cell"))
-    apart = F.bit_count(_half("a.u", 0).bitwiseXOR(_half("b.u", 0))) > 2
-    far = probe.alias("a").join(second.alias("b"), (F.col("a.cell") == F.col("b.c")) & (F.col("a.node") < F.col("b.node")) & apart & exact)
-    pick = lambda d: d.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    return pick(near).union(pick(far))
+    """(src, dst) of pairs of distinct fingerprints (columns node, fp) that differ in ``RADIUS`` bits or fewer.
+
+    All of them in cells of up to ``CELL`` members; in larger cells those that connect the members, one a member and cell,
+    so that a group's links never outgrow its rows. Two fingerprints within the radius share a cell: of the first half, where
+    both have the cells one step around them, if they are within two steps there, and of the second half, where both have
+    their own cell and those one step up, if they are within one.
+    """
+    first = F.explode(_around(_half(F.col("fp"), 0))).alias("cell")
+    second = F.explode(_around(_half(F.col("fp"), 1), only_up=True)).alias("cell")
+    spread = fps.select(first, "fp").union(fps.select(second, "fp").select(F.col("cell") + F.lit(1 << 32), "fp"))
+
+    def verify(batches):
+        for t, cuts in complete_groups(batches, 1):
+            cell, fp, sizes, out = t.column(0).to_numpy(), t.column(1).to_numpy(), np.diff(cuts), []
+            own = _own_cell(fp, cell >= 1 << 32)
+            end = np.repeat(np.where(sizes <= CELL, cuts[1:], cuts[:-1]), sizes)  # large cells are left out here
+            at = np.flatnonzero(end - np.arange(fp.size) > 1)
+            step = 1
+            while at.size:
+                hit = at[_close(fp[at], fp[at + step])]
+                # pairs within one step also meet elsewhere; they count in a cell that one of them has itself
+                far = np.bitwise_count(own[hit] ^ own[hit + step]) > 1
+                hit = hit[far | (own[hit] == cell[hit]) | (own[hit + step] == cell[hit])]
+                out.append((fp[hit], fp[hit + step]))
+                step += 1
+                at = at[end[at] - at > step]
+            for k in np.flatnonzero(sizes > CELL).tolist():
+                out += _reach(fp[cuts[k] : cuts[k + 1]])
+            if out:
+                x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                yield record_batch([("x", pa.int64()), ("y", pa.int64())], [pairs[:, 0], pairs[:, 1]])
+
+    pairs = spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "x long, y long").distinct()
+    named = pairs.join(fps.select(F.col("fp").alias("x"), F.col("node").alias("src")), "x")
+    return named.join(fps.select(F.col("fp").alias("y"), F.col("node").alias("dst")), "y").select("src", "dst")
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
@@ -120,6 +203,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
 
 #: Fingerprints of the search by word sets, and the share of common five-word shingles that makes texts near copies.
 VIEWS, FIVE, SIMILAR = 3, 5, 0.8
+#: Rows of a block in which texts are compared that the linked pairs didn't settle.
+BLOCK = 256
 
 
 def word_views(texts: list[bytes]) -> np.ndarray:
@@ -144,35 +229,104 @@ def word_views(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of the sets of five-word shingles of two sequences of word hashes; shorter texts are one shingle."""
+def _shingles(data: bytes) -> np.ndarray:
+    """Sorted hashes of the five-word shingles of a sequence of word hashes; a shorter text is one shingle."""
+    w = np.frombuffer(data, "<u4").astype(np.uint64)
+    n = max(1, w.size - FIVE + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(min(FIVE, w.size)):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : n + j] + np.uint64(1)
+    return np.unique(h)
 
-    def shingles(data):
-        w = np.frombuffer(data, "<u4").astype(np.uint64)
-        n = max(1, w.size - FIVE + 1)
-        h = np.zeros(n, np.uint64)
-        for j in range(min(FIVE, w.size)):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : n + j] + np.uint64(1)
-        return np.unique(h)
 
-    x, y = shingles(a), shingles(b)
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if min(x.size, y.size) < SIMILAR * max(x.size, y.size):
+        return 0.0  # it can't reach SIMILAR
     both = np.intersect1d(x, y, assume_unique=True).size
     return both / max(x.size + y.size - both, 1)
 
 
+def _similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of the sets of five-word shingles."""
+    return _jaccard(_shingles(a), _shingles(b))
+
+
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose texts are similar enough; known: doc, words."""
+    both = pairs.join(known.withColumnsRenamed({"doc": "src", "words": "a"}), "src").join(known.withColumnsRenamed({"doc": "dst", "words": "b"}), "dst")
+
+    def verify(batches):
+        for b in sliced(batches):
+            good = [_similarity(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield record_batch([("src", pa.int64()), ("dst", pa.int64())], [c.filter(pa.array(good, pa.bool_())) for c in b.columns[:2]])
+
+    return both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long")
+
+
+def _apart(around: DataFrame, found: DataFrame) -> DataFrame:
+    """node, around, part, largest of the candidate groups (node, component) that consist of several verified parts."""
+    named = around.withColumnRenamed("component", "around").join(found.withColumnRenamed("component", "part"), "node", "left")
+    named = named.select("node", "around", F.coalesce("part", "node").alias("part"))
+    parts = named.groupBy("around", "part").agg(F.count("*").alias("n"))
+    several = parts.groupBy("around").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("top"))
+    several = several.where((F.col("parts") > 1) & ((F.col("top.n") > 1) | (F.col("all") > CELL)))
+    return named.join(several, "around").select("node", "around", "part", (F.col("part") == F.col("top.part")).alias("largest"))
+
+
+def _across(nodes: DataFrame, views: list[str]) -> DataFrame:
+    """(src, dst) of all similar texts of different parts of a group that are near in some view.
+
+    nodes: around, node, part, largest, the views and words. A group is dealt out as pairs of blocks; only pairs that are
+    verified leave them. Texts of the largest part aren't compared with each other.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = nodes.join(nodes.groupBy("around").agg(F.count("*").alias("n")), "around")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keys = ["around", "i", "j"]
+    rows = rows.select("around", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", F.col("largest").cast("int"), *views, "words")
+
+    def near(batches):
+        for t, cuts in complete_groups(batches, 3):
+            i, j, own, node, part, largest = (t.column(c).to_numpy() for c in range(1, 7))
+            prints, words_, out = [t.column(7 + v).to_numpy() for v in range(len(views))], t.column(7 + len(views)), []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                left, right = np.flatnonzero(own[a:b] == i[a]) + a, np.flatnonzero(own[a:b] == j[a]) + a
+                sets: dict[int, np.ndarray] = {}
+
+                def shingles(k, sets=sets, words_=words_):
+                    if k not in sets:
+                        sets[k] = _shingles(words_[k].as_py())
+                    return sets[k]
+
+                for q in left.tolist():
+                    hit = np.zeros(right.size, bool)
+                    for x in prints:
+                        hit |= _close(x[right], x[q])
+                    hit &= (part[right] != part[q]) & ((largest[right] == 0) | (largest[q] == 0))
+                    if i[a] == j[a]:
+                        hit &= node[right] > node[q]
+                    for k in right[hit].tolist():
+                        if _jaccard(shingles(q), shingles(k)) >= SIMILAR:
+                            out.append((max(node[q], node[k]), min(node[q], node[k])))
+            if out:
+                yield record_batch([("src", pa.int64()), ("dst", pa.int64())], [np.array(c, np.int64) for c in zip(*out, strict=True)])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(near, "src long, dst long")
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, component_id of every row with an id: groups of copies, and of texts with five-word similarity of SIMILAR or more.
 
     Copies (equal word sequences) are one text. Texts are compared with the first text of an equal fingerprint, and the first
     texts of fingerprints that lie within RADIUS bits with each other, in each of the VIEWS; each such pair is verified on
-    its whole texts, so that a large group costs one pair a text and view, not all pairs.
+    its whole texts. A large group costs a few pairs a text, not all pairs; what these don't settle is compared in full.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     views = [f"f{v}" for v in range(VIEWS)]
     fields = [("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), *((f, pa.int64()) for f in views)]
 
     def run(batches):
-        for b in sliced(batches, 2 << 20):
+        for b in sliced(batches):
             texts = utf8(b.column(1))
             contents = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             halves = np.frombuffer(b"".join(contents), "<i8").reshape(-1, 2)
@@ -190,14 +344,23 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     pairs = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "pairs")
     ids = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
     known = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
-    both = pairs.join(known.withColumnsRenamed({"doc": "src", "words": "a"}), "src").join(known.withColumnsRenamed({"doc": "dst", "words": "b"}), "dst")
-
-    def verify(batches):
-        for b in sliced(batches):
-            good = [_similarity(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield record_batch([("src", pa.int64()), ("dst", pa.int64())], [c.filter(pa.array(good, pa.bool_())) for c in b.columns[:2]])
-
-    found = components(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long"))
+    verified = materialize(_verified(pairs, known), "verified")
+    found = materialize(components(verified), "verified-groups")
+    # Candidates that connect a large cell may fail where others would not: groups of candidates that fell apart are looked
+    # at again, first against the best linked text of their largest part, then each rest against all its near texts.
+    around = materialize(components(pairs), "candidate-groups")
+    apart = materialize(_apart(around, found), "apart")
+    if not apart.isEmpty():
+        ends = verified.select(F.col("src").alias("node")).union(verified.select(F.col("dst").alias("node")))
+        linked = ends.groupBy("node").agg(F.count("*").alias("n")).join(apart.where("largest"), "node")
+        hubs = linked.groupBy("around").agg(F.max(F.struct("n", "node")).alias("h")).select("around", F.col("h.node").alias("dst"))
+        again = apart.where("not largest").join(hubs, "around").select(F.col("node").alias("src"), "dst")
+        verified = materialize(verified.union(_verified(again, known)), "verified")
+        found = materialize(components(verified), "verified-groups")
+        apart = materialize(_apart(around, found), "apart")
+        if not apart.isEmpty():
+            rest = apart.join(texts.select("node", *views), "node").join(known.withColumnRenamed("doc", "node"), "node")
+            found = components(verified.union(_across(rest, views)))
     named = texts.join(found, "node", "left").select("c0", "c1", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, ["c0", "c1"]).select("doc_id", "component_id")
 

@@ -58,6 +58,22 @@ def test_links_are_complete(spark):
     assert found == {tuple(sorted(p)) for p in want}
 
 
+def test_dense_cells_stay_connected(spark):
+    """Hundreds of fingerprints around a few centres: components against all pairs, links not more than rows in cells."""
+    rng = random.Random(8)
+    values = set()
+    for centre in (0, rng.getrandbits(64), rng.getrandbits(64)):
+        for _ in range(350):
+            values.add(centre ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 5))))
+    values = np.array(sorted(values), np.uint64)
+    signed = values.view(np.int64).tolist()
+    pairs = [tuple(p) for p in zip(*np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4, 1)), strict=True)]
+    found = [(r.src, r.dst) for r in simhash.links(spark.createDataFrame(list(enumerate(signed)), "node long, fp long")).collect()]
+    assert {tuple(sorted(p)) for p in found} <= set(pairs)
+    assert _components(len(values), found) == _components(len(values), pairs)
+    assert len(found) <= 38 * len(values)
+
+
 def test_groups_of_odd_rows(odd, none):
     found = simhash.groups(odd).collect()
     assert len(found) == 11
