@@ -45,13 +45,15 @@ def fit(texts: list[bytes], labels: list[int], prior: np.ndarray):
     if not n:
         return np.zeros((SLOTS, k), np.float32), np.zeros(k)
     x = np.zeros((n, SLOTS), np.float32)
-    for i in range(0, n, 200):
-        row, slot = runs(texts[i : i + 200])
-        part = np.bincount(row * SLOTS + slot, minlength=len(texts[i : i + 200]) * SLOTS).reshape(-1, SLOTS)
-        x[i : i + 200] = part / np.maximum(1, part.sum(axis=1, keepdims=True))
-    scale = 1 / (x.std(axis=0) + 1e-4)
+    for i in range(n):
+        slot = runs(texts[i : i + 1])[1]
+        x[i] = np.bincount(slot, minlength=SLOTS) / max(1, slot.size)
+    # by columns, without a second matrix
+    mean = x.mean(axis=0, dtype=np.float64)
+    square = np.einsum("ij,ij->j", x, x, dtype=np.float64) / n
+    scale = (1 / (np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4)).astype(np.float32)
     x *= scale
-    center = x.mean(axis=0)
+    center = (mean * scale).astype(np.float32)
     x -= center
     y = np.eye(k, dtype=np.float32)[labels]
     weight = (prior / np.maximum(y.mean(axis=0), 1e-9))[labels].astype(np.float32)  # as if drawn with the true shares
@@ -93,7 +95,9 @@ def learn(docs: DataFrame, labels: DataFrame):
     few = known.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate)
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(few), "i").where("text is not null").collect()
     rows.sort(key=lambda r: (r["i"], r["text"]))
-    return fit([r["text"].encode() for r in rows], [r["y"] for r in rows], prior / prior.sum())
+    texts, known = [r["text"].encode() for r in rows], [r["y"] for r in rows]
+    del rows
+    return fit(texts, known, prior / prior.sum())
 
 
 def memberships(docs: DataFrame, model, keep=()) -> DataFrame:
