@@ -5,7 +5,8 @@ Seeds are runs of ``K`` words, winnowed (the least hash of every ``SPAN`` neighb
 one and to the first of all, which the batches' first ones settle among themselves. A seed of a hot passage thus costs two
 links an occurrence, never all pairs. The seeds that two documents share are chained in order of both positions,
 with costs for gaps, through a Fenwick tree of prefix maxima. Chains are aligned word by word between and beyond their
-seeds; aligned passages of at least ``LEAST`` words and ``SIMILAR`` equal words are reported on the later document.
+seeds, and split at gaps that pull them below ``SIMILAR`` equal words; aligned passages of at least ``LEAST`` words and ``SIMILAR``
+equal words are reported on the later document.
 
 Words are the ASCII-lower-cased text's runs of other bytes than ASCII blanks; positions count words.
 
@@ -286,24 +287,86 @@ def _beyond(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return (best + 1, int(same[: best + 1].sum())) if gain[best] > 0 else (0, 0)
 
 
-def align(left: np.ndarray, right: np.ndarray, steps: np.ndarray, at: int, ref_at: int):
-    """(start, end, ref start, ref end, equal words, columns) of a chain; left and right begin at words at and ref_at."""
-    p, r = steps[:, 0] - at, steps[:, 1] - ref_at
-    start, rstart, x, y, same, size = int(p[0]), int(r[0]), int(p[0]), int(r[0]), 0, 0
-    for i, j in zip(p.tolist(), r.tolist(), strict=True):
+def _path(left: np.ndarray, right: np.ndarray, p: list[int], r: list[int]) -> list[tuple[int, ...]]:
+    """Blocks (begin, end, ref begin, ref end, equal words, columns) along a chain: runs of seeds, and the gaps between them."""
+    out, x, y = [(p[0], p[0], r[0], r[0], 0, 0)], p[0], r[0]
+    for i, j in zip(p, r, strict=True):
         if i > x or j > y:
             if i >= x and j >= y:
-                n, c = _gap(left[x:i], right[y:j])
-                same, size, x, y = same + n, size + c, i, j
+                out.append((x, i, y, j, *_gap(left[x:i], right[y:j])))
+                out.append((i, i, j, j, 0, 0))
+                x, y = i, j
             else:  # overlaps the last seed on one side only
                 continue
         grow = min(i + K - x, j + K - y)
         if grow > 0:
-            same, size, x, y = same + int((left[x : x + grow] == right[y : y + grow]).sum()), size + grow, x + grow, y + grow
-    n, s = _beyond(left[:start][::-1], right[:rstart][::-1])
-    start, rstart, same, size = start - n, rstart - n, same + s, size + n
-    n, s = _beyond(left[x:], right[y:])
-    return start + at, x + n + at, rstart + ref_at, y + n + ref_at, same + s, size + n
+            a, _, b, _, same, size = out[-1]
+            same += int((left[x : x + grow] == right[y : y + grow]).sum())
+            x, y = x + grow, y + grow
+            out[-1] = (a, x, b, y, same, size + grow)
+    return out
+
+
+def _narrowed(left: np.ndarray, right: np.ndarray, path: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The path with gaps cut down to what the runs beside them don't grow over."""
+    out = path[:1]
+    for (x, i, y, j, same, size), (_, end, _, rend, run, cols) in zip(path[1::2], path[2::2], strict=True):
+        n, s = _beyond(left[x:i], right[y:j])
+        a, _, b, _, e, c = out[-1]
+        out[-1] = (a, x + n, b, y + n, e + s, c + n)
+        m, t = _beyond(left[x + n : i][::-1], right[y + n : j][::-1])
+        inner = _gap(left[x + n : i - m], right[y + n : j - m]) if n or m else (same, size)
+        out += [(x + n, i - m, y + n, j - m, *inner), (i - m, end, j - m, rend, run + t, cols + m)]
+    return out
+
+
+def _longest(path: list[tuple[int, ...]]) -> tuple[int, int]:
+    """(first, last) of the longest stretch from run to run that is similar enough."""
+    gain = np.concatenate([[0.0], np.cumsum([same - SIMILAR * size for *_, same, size in path])])
+    before, after = gain[:-1:2], gain[1::2]  # a run, which stands at an even place, begins and ends a stretch
+    reach = np.maximum.accumulate(after[::-1])[::-1]
+    last = np.searchsorted(-reach, -before + 1e-9, side="right") - 1
+    sizes = [path[2 * int(j)][1] - path[2 * i][0] if j >= i else -1 for i, j in enumerate(last)]
+    i = int(np.argmax(sizes))
+    return 2 * i, 2 * int(last[i])
+
+
+def align(left: np.ndarray, right: np.ndarray, steps: np.ndarray, at: int, ref_at: int) -> list[tuple[int, ...]]:
+    """(start, end, ref start, ref end, equal words, columns) of the passages of a chain; left and right begin at words at and ref_at.
+
+    A chain that is similar enough is one passage. Another is split at the gaps that make it unlike: its longest similar
+    stretch is taken, then that of what lies before it and behind it.
+    """
+
+    def grown(path, low, high):
+        """The stretch with its ends grown between the words (both sides) low and high."""
+        (start, _, rstart, *_), (_, x, _, y, *_) = path[0], path[-1]
+        same, size = (sum(b[c] for b in path) for c in (4, 5))
+        n, s = _beyond(left[low[0] : start][::-1], right[low[1] : rstart][::-1])
+        m, t = _beyond(left[x : high[0]], right[y : high[1]])
+        return start - n, x + m, rstart - n, y + m, same + s + t, size + n + m
+
+    def good(found):
+        return found[1] - found[0] >= LEAST and found[4] >= SIMILAR * found[5]
+
+    path = _path(left, right, (steps[:, 0] - at).tolist(), (steps[:, 1] - ref_at).tolist())
+    ends = (0, 0), (left.size, right.size)
+    found = [grown(path, *ends)]
+    if not good(found[0]):
+        found, rest = [], [(_narrowed(left, right, path), *ends)]
+        while rest:
+            part, low, high = rest.pop()
+            i, j = _longest(part)
+            if j < i:
+                continue
+            core = part[i : j + 1]
+            edges = (core[0][0], core[0][2]), (core[-1][1], core[-1][3])
+            found += [one for one in (grown(core, low, high), grown(core, *edges)) if good(one)][:1]
+            if i:
+                rest.append((part[: i - 1], low, (part[i][0], part[i][2])))
+            if j + 1 < len(part):
+                rest.append((part[j + 2 :], (part[j][1], part[j][3]), high))
+    return [(s + at, e + at, rs + ref_at, re_ + ref_at, same, size) for s, e, rs, re_, same, size in sorted(found)]
 
 
 _PASSAGE = [("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32()), ("ref_end", pa.int32()), ("equal_words", pa.int32()), ("similarity", pa.float64())]
@@ -329,8 +392,7 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         for b in sliced(batches):
             out = []
             for doc, ref, first, ref_first, steps, x, y in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                s, e, rs, re_, same, size = align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.frombuffer(steps, "<i4").reshape(-1, 2).astype(np.int64), max(0, first - MARGIN), max(0, ref_first - MARGIN))
-                if e - s >= LEAST and same >= SIMILAR * size:
+                for s, e, rs, re_, same, size in align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.frombuffer(steps, "<i4").reshape(-1, 2).astype(np.int64), max(0, first - MARGIN), max(0, ref_first - MARGIN)):
                     out.append((doc, s, e, ref, rs, re_, same, same / size))
             if out:
                 yield record_batch(_PASSAGE, list(zip(*out, strict=True)))

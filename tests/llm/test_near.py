@@ -153,6 +153,20 @@ def test_passages(spark, odd, none):
     assert passages.passages(odd).count() == 0 and passages.passages(none).count() == 0
 
 
+def test_two_passages_a_pair(spark):
+    """Unlike text between two shared passages, or a weak stretch beside one, loses neither."""
+    rows, want = [], {}
+    for k, (size, gap) in enumerate([(60, 60), (60, 100), (60, 150), (300, 200), (300, 600)]):
+        one, two = prose(1000 + k, size).split(), prose(2000 + k, size).split()
+        for side in (0, 1):
+            rows.append((2 * k + side, " ".join([*prose(3000 + 2 * k + side, 30).split(), *one, *prose(4000 + 2 * k + side, gap).split(), *two, *prose(5000 + 2 * k + side, 30).split()])))
+        want[2 * k + 1] = [(30, 30 + size), (30 + size + gap, 30 + 2 * size + gap)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for doc, places in want.items():
+        for start, end in places:
+            assert any(r.doc_id == doc and r.ref_doc_id == doc - 1 and abs(r.start_word - start) <= 2 and abs(r.end_word - end) <= 2 and r.similarity >= 0.9 for r in found), (doc, start, end)
+
+
 def _embedding_rows(seed=6):
     rng = np.random.default_rng(seed)
     rows, dense = [], rng.standard_normal(24)
