@@ -2,8 +2,9 @@
 
 Seeds are runs of ``K`` words, winnowed (the least hash of every ``SPAN`` neighbouring runs), so that each shared run of
 ``K + SPAN - 1`` words shares a seed. Within a task's batch the occurrences of a seed are linked to the batch's first
-one and to the first of all, which the batches' first ones settle among themselves. A seed of a hot passage thus costs two
-links an occurrence, never all pairs. The seeds that two documents share are chained in order of both positions,
+one, to the first of all, which the batches' first ones settle among themselves, and to the one in the document before. A seed
+of a hot passage thus costs three links an occurrence, never all pairs; a pair of documents with one link is compared by its
+words around the link, as far as they agree. The seeds that two documents share are chained in order of both positions,
 with costs for gaps, through a Fenwick tree of prefix maxima. Chains are aligned word by word between and beyond their
 seeds, and split at gaps that pull them below ``SIMILAR`` equal words; aligned passages of at least ``LEAST`` words and ``SIMILAR``
 equal words are reported on the later document.
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import discard, materialize, record_batch, sliced, table, utf8
+from rangeloom.llm.common import complete_groups, discard, materialize, record_batch, sliced, table, utf8
 from rangeloom.llm.rows import bitmap, member, slots
 
 K, SPAN, LEAST, SIMILAR = 5, 12, 50, 0.8
 #: A seed's weight, the cost of a skipped word on either side, and the words looked at beyond a chain's ends.
-WEIGHT, GAP, MARGIN = 5.0, 0.08, 24
+WEIGHT, GAP, MARGIN = 5.0, 0.08, 64
 #: What remains of a passage of LEAST words between its first and last seed.
 CORE = LEAST - 2 * (SPAN - 1)
 
@@ -109,11 +110,11 @@ def seeds(texts: list[bytes]):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """hash, doc, pos of all occurrences of seeds that are a batch's first or repeat it in another document.
+    """hash, doc, pos of all occurrences of seeds, with ref, ref_pos: the batch's first occurrence, if it is another document's.
 
-    The latter have ref, ref_pos: the batch's first occurrence.
+    prev, prev_pos: the last occurrence in the batch's document before this one by id, if that isn't the first occurrence.
     """
-    fields = [("hash", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ref", pa.int64()), ("ref_pos", pa.int32())]
+    fields = [("hash", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ref", pa.int64()), ("ref_pos", pa.int32()), ("prev", pa.int64()), ("prev_pos", pa.int32())]
 
     def run(batches):
         for b in sliced(batches, 4 << 20):
@@ -121,38 +122,46 @@ def occurrences(docs: DataFrame) -> DataFrame:
             if not h.size:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-            value, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            lead = first[inverse]
-            other = np.flatnonzero(ids[lead] != ids)
-            rows, n = np.concatenate([first, other]), value.size
-            firsts = np.arange(rows.size) < n
+            order = np.lexsort((place, ids, h))
+            h, ids, place = h[order], ids[order], place[order]
+            number = np.arange(h.size)
+            fresh = np.diff(h, prepend=~h[0]) != 0
+            lead = np.maximum.accumulate(np.where(fresh, number, 0))
+            prev = np.maximum.accumulate(np.where(fresh | (np.diff(ids, prepend=ids[0]) != 0), number, 0)) - 1
+            own, alone = ids[lead] == ids, np.maximum(prev, 0)
+            no_prev = own | (alone == lead)
             yield record_batch(
                 fields,
                 [
-                    h[rows].view(np.int64),
-                    ids[rows],
-                    place[rows].astype(np.int32),
-                    pa.array(ids[lead[rows]], mask=firsts),
-                    pa.array(place[lead[rows]].astype(np.int32), mask=firsts),
+                    h.view(np.int64),
+                    ids,
+                    place.astype(np.int32),
+                    pa.array(ids[lead], mask=own),
+                    pa.array(place[lead].astype(np.int32), mask=own),
+                    pa.array(ids[alone], mask=no_prev),
+                    pa.array(place[alone].astype(np.int32), mask=no_prev),
                 ],
             )
 
-    return docs.mapInArrow(run, "hash long, doc long, pos int, ref long, ref_pos int")
+    return docs.mapInArrow(run, "hash long, doc long, pos int, ref long, ref_pos int, prev long, prev_pos int")
 
 
 def anchors(found: DataFrame) -> DataFrame:
-    """doc, ref, pos, ref_pos: each occurrence of a shared seed with the first of its batch and the first of all.
+    """doc, ref, pos, ref_pos: each occurrence of a shared seed with the first of its batch, the first of all and the one before.
 
-    Only batches' first occurrences meet in a window; the others look the first of all up by a join on the hash.
+    Only batches' first documents meet in a window; the others have the one before in their batch, and look the first of all
+    up by a join on the hash.
     """
     first, near = found.where("ref is null").select("hash", "doc", "pos"), found.where("ref is not null")
     w = Window.partitionBy("hash").orderBy("doc", "pos")
-    ranked = first.withColumn("lead", F.first(F.struct("doc", "pos")).over(w)).where("lead.doc <> doc")
+    before = Window.partitionBy("hash").orderBy("doc").rangeBetween(Window.unboundedPreceding, -1)
+    ranked = first.withColumn("lead", F.first(F.struct("doc", "pos")).over(w)).withColumn("prev", F.last(F.struct("doc", "pos")).over(before)).where("lead.doc <> doc")
     ranked = materialize(ranked, "leads")
-    pick = lambda d: d.select("doc", F.col("lead.doc").alias("ref"), "pos", F.col("lead.pos").alias("ref_pos"))
+    pick = lambda d, c="lead": d.select("doc", F.col(f"{c}.doc").alias("ref"), "pos", F.col(f"{c}.pos").alias("ref_pos"))
     leads = ranked.groupBy("hash").agg(F.first("lead").alias("lead"))
     through = near.select("hash", "doc", "pos").join(leads, "hash").where("lead.doc <> doc")
-    return near.select("doc", "ref", "pos", "ref_pos").union(pick(ranked)).union(pick(through))
+    inside = near.where("prev is not null").select("doc", F.col("prev").alias("ref"), "pos", F.col("prev_pos").alias("ref_pos"))
+    return near.select("doc", "ref", "pos", "ref_pos").union(inside).union(pick(ranked)).union(pick(ranked, "prev")).union(pick(through))
 
 
 def chains(pos: np.ndarray, ref: np.ndarray) -> list[np.ndarray]:
@@ -203,25 +212,27 @@ def chains(pos: np.ndarray, ref: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_CHAIN = [("doc", pa.int64()), ("ref", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("ref_first", pa.int32()), ("ref_last", pa.int32()), ("steps", pa.binary())]
+_CHAIN = [("doc", pa.int64()), ("ref", pa.int64()), ("weak", pa.bool_()), ("first", pa.int32()), ("last", pa.int32()), ("ref_first", pa.int32()), ("ref_last", pa.int32()), ("steps", pa.binary())]
+_CHAINS = "doc long, ref long, weak boolean, first int, last int, ref_first int, ref_last int, steps binary"
 
 
 def chained(links: DataFrame) -> DataFrame:
-    """Chains long enough for a passage: first and last word (exclusive) on both sides, steps: (pos, ref_pos) as int32."""
+    """All chains: first and last word (exclusive) on both sides, steps: (pos, ref_pos) as int32; weak: short of CORE words.
+
+    Of a weak chain's passage the other seeds may have other references; what it shares is found by its words.
+    """
 
     def rows(doc, ref, pos, rpos):
         cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(ref) != 0)) + 1
         bounds = np.concatenate([[0], cuts, [doc.size]])
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a < 2 or pos[b - 1] + K - pos[a] < CORE:
-                continue
             p, r = pos[a:b], rpos[a:b]
             step = r - p
-            straight = step.min() == step.max() and (np.diff(p) > 0).all() and np.diff(p).max() * 2 * GAP < WEIGHT
+            straight = b - a == 1 or step.min() == step.max() and (np.diff(p) > 0).all() and np.diff(p).max() * 2 * GAP < WEIGHT
             for chain in [np.arange(b - a)] if straight else chains(p, r):
-                if chain.size >= 2 and p[chain[-1]] + K - p[chain[0]] >= CORE and r[chain[-1]] + K - r[chain[0]] >= CORE:
-                    both = np.stack([p[chain], r[chain]], axis=1).astype("<i4")
-                    yield int(doc[a]), int(ref[a]), int(p[chain[0]]), int(p[chain[-1]]) + K, int(r[chain[0]]), int(r[chain[-1]]) + K, both.tobytes()
+                weak = bool(min(p[chain[-1]] - p[chain[0]], r[chain[-1]] - r[chain[0]]) + K < CORE)
+                both = np.stack([p[chain], r[chain]], axis=1).astype("<i4")
+                yield int(doc[a]), int(ref[a]), weak, int(p[chain[0]]), int(p[chain[-1]]) + K, int(r[chain[0]]), int(r[chain[-1]]) + K, both.tobytes()
 
     def run(batches):
         held = None
@@ -239,7 +250,7 @@ def chained(links: DataFrame) -> DataFrame:
             yield record_batch(_CHAIN, list(zip(*out, strict=True)))
 
     ordered = links.select("doc", "ref", "pos", "ref_pos").distinct().repartition("doc").sortWithinPartitions("doc", "ref", "pos", "ref_pos")
-    return ordered.mapInArrow(run, "doc long, ref long, first int, last int, ref_first int, ref_last int, steps binary")
+    return ordered.mapInArrow(run, _CHAINS)
 
 
 def words(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -370,34 +381,75 @@ def align(left: np.ndarray, right: np.ndarray, steps: np.ndarray, at: int, ref_a
 
 
 _PASSAGE = [("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32()), ("ref_end", pa.int32()), ("equal_words", pa.int32()), ("similarity", pa.float64())]
+_PASSAGES = "doc_id long, start_word int, end_word int, ref_doc_id long, ref_start int, ref_end int, equal_words int, similarity double"
 
 
-def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per passage of a document and an earlier place of it in another document."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    found = materialize(occurrences(docs), "seeds")
-    chain = materialize(chained(anchors(found)), "chains")
-    discard(found)
-    ids = chain.select(F.col("doc").alias("id")).union(chain.select(F.col("ref").alias("id"))).distinct()
-    kept = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
+def _aligned(chain: DataFrame, kept: DataFrame, margin: int) -> DataFrame:
+    """The chains' passages, with weak; or, where one grows over the words looked at, more: the chain itself, as doc and so on."""
 
     def cut(first: str, last: str):
-        begin = F.greatest(F.col(first) - MARGIN, F.lit(0))
-        return F.substring(F.col("words"), begin * 4 + 1, (F.col(last) + MARGIN - begin) * 4)
+        begin = F.greatest(F.col(first) - margin, F.lit(0))
+        return F.substring(F.col("words"), begin * 4 + 1, (F.col(last) + margin - begin) * 4)
 
     one = chain.join(kept, "doc").withColumn("a", cut("first", "last")).drop("words")
     two = one.join(kept.withColumnRenamed("doc", "ref"), "ref").withColumn("b", cut("ref_first", "ref_last"))
+    fields = [*_PASSAGE, *_CHAIN]
 
     def run(batches):
         for b in sliced(batches):
             out = []
-            for doc, ref, first, ref_first, steps, x, y in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                for s, e, rs, re_, same, size in align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.frombuffer(steps, "<i4").reshape(-1, 2).astype(np.int64), max(0, first - MARGIN), max(0, ref_first - MARGIN)):
-                    out.append((doc, s, e, ref, rs, re_, same, same / size))
+            for row in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+                doc, ref, weak, first, last, ref_first, ref_last, steps, x, y = row
+                at, ref_at = max(0, first - margin), max(0, ref_first - margin)
+                found = align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.frombuffer(steps, "<i4").reshape(-1, 2).astype(np.int64), at, ref_at)
+                # a side that is cut off ends just where it was asked to
+                if any(s == at > 0 or rs == ref_at > 0 or e == last + margin or re_ == ref_last + margin for s, e, rs, re_, *_ in found):
+                    out.append((*[None] * 8, *row[:8]))
+                    continue
+                out += [(doc, s, e, ref, rs, re_, same, same / size, None, None, weak, *[None] * 5) for s, e, rs, re_, same, size in found]
             if out:
-                yield record_batch(_PASSAGE, list(zip(*out, strict=True)))
+                yield record_batch(fields, list(zip(*out, strict=True)))
+
+    return two.select(*(n for n, _ in _CHAIN), "a", "b").mapInArrow(run, f"{_PASSAGES}, {_CHAINS}")
+
 
-    return two.select("doc", "ref", "first", "ref_first", "steps", "a", "b").mapInArrow(run, "doc_id long, start_word int, end_word int, ref_doc_id long, ref_start int, ref_end int, equal_words int, similarity double")
+def _without_parts(found: DataFrame) -> DataFrame:
+    """Weak chains' passages go if another passage of the two documents holds them on both sides."""
+
+    def run(batches):
+        for t, cuts in complete_groups(batches, 2):
+            cols = [t.column(c).to_numpy() for c in range(2, 6)]
+            weak, keep = t.column(8).to_numpy(), np.ones(t.num_rows, bool)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                s, e, rs, re_ = (c[a:b] for c in cols)
+                for k in np.flatnonzero(weak[a:b]).tolist() if b - a > 1 else []:
+                    holds = (s <= s[k]) & (e >= e[k]) & (rs <= rs[k]) & (re_ >= re_[k]) & keep[a:b]
+                    holds[k] = False
+                    keep[a + k] = not holds.any()
+            yield from t.filter(pa.array(keep)).select([n for n, _ in _PASSAGE]).to_batches()
+
+    keys = ["doc_id", "ref_doc_id"]
+    rows = found.select(*keys, "start_word", "end_word", "ref_start", "ref_end", "equal_words", "similarity", F.col("weak").cast("int").alias("weak"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PASSAGES)
+
+
+def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per passage of a document and an earlier place of it in another document."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    found = materialize(occurrences(docs), "seeds")
+    chain = materialize(chained(anchors(found)), "chains")
+    discard(found)
+    ids = chain.select(F.col("doc").alias("id")).union(chain.select(F.col("ref").alias("id"))).distinct()
+    kept = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
+    margin, done = MARGIN, None
+    while True:
+        found = materialize(_aligned(chain, kept, margin), "passages")
+        ready = found.where("doc is null")
+        done = ready if done is None else done.union(ready)
+        chain = found.where("doc is not null").select(*(n for n, _ in _CHAIN))
+        if chain.isEmpty():
+            return _without_parts(done)
+        margin *= 8  # passages that go on
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,30 @@ def test_two_passages_a_pair(spark):
             assert any(r.doc_id == doc and r.ref_doc_id == doc - 1 and abs(r.start_word - start) <= 2 and abs(r.end_word - end) <= 2 and r.similarity >= 0.9 for r in found), (doc, start, end)
 
 
+def test_parts_with_earlier_owners(spark):
+    """Earlier documents that hold a part of a passage, or a first quote of it in its own document, don't hide the whole."""
+    rows, want, n = [], [], 0
+
+    def add(seed, *parts):
+        nonlocal n
+        rows.append((n, " ".join([*prose(7000 + seed, 30).split(), *(w for i, p in enumerate(parts) for w in [*p, *prose(9000 + 10 * seed + i, 30).split()])])))
+        n += 1
+        return n - 1
+
+    for k, (size, part) in enumerate([(60, 40), (60, 40), (70, 45), (60, 25), (300, 150)]):
+        whole = prose(6000 + k, size).split()
+        add(10 * k, whole[:part])
+        b = add(10 * k + 1, whole)
+        add(10 * k + 2, whole[:part])
+        want.append((add(10 * k + 3, whole), b, size))
+    whole = prose(6100, 60).split()
+    b = add(100, whole[:35], whole)
+    want.append((add(101, whole), b, 60))
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for doc, ref, size in want:
+        assert any(r.doc_id == doc and r.ref_doc_id == ref and abs(r.end_word - r.start_word - size) <= 4 and r.similarity >= 0.9 for r in found), (doc, ref, size)
+
+
 def _embedding_rows(seed=6):
     rng = np.random.default_rng(seed)
     rows, dense = [], rng.standard_normal(24)
