@@ -17,17 +17,24 @@ it; repeats within one document are not reported. Rows with a null id take no pa
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import complete_groups, discard, materialize, record_batch, sliced, table, utf8
 from rangeloom.llm.rows import bitmap, member, slots
 
-K, SPAN, LEAST, SIMILAR = 5, 12, 50, 0.8
+K, SPAN, LEAST, SIMILAR = 4, 6, 50, 0.8
 #: A seed's weight, the cost of a skipped word on either side, and the words looked at beyond a chain's ends.
-WEIGHT, GAP, MARGIN = 5.0, 0.08, 64
+WEIGHT, GAP, MARGIN = 5.0, 0.08, 16
+#: Words of one side that an end skips at most where it grows, the words that must nearly agree behind them, and the fall of the
+#: gain that ends growth.
+SHIFT, RESUME, DROP = 3, 4, 16
+_SHIFTS = [s for d in range(1, SHIFT + 1) for s in ((d, 0), (0, d))]
 #: What remains of a passage of LEAST words between its first and last seed.
 CORE = LEAST - 2 * (SPAN - 1)
 
@@ -287,15 +294,45 @@ def _gap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(row[-1]), max(a.size, b.size)
 
 
-def _beyond(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(words, equal words) by which an end grows along the diagonal while at least half of the words agree."""
-    n = min(a.size, b.size)
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
-    gain = np.cumsum(np.where(same, 1, -2))
-    best = int(np.argmax(gain))
-    return (best + 1, int(same[: best + 1].sum())) if gain[best] > 0 else (0, 0)
+def _beyond(a: np.ndarray, b: np.ndarray, cut=(False, False)) -> tuple[int, int, int, int, bool]:
+    """(words, words of b, equal words, columns, open) by which an end grows while at least two thirds of the words agree.
+
+    A diagonal's growth is over where its gain (1 a word, -2 an unlike one) falls by DROP. There, up to SHIFT words of one side
+    may be skipped if nearly all of the RESUME words behind them agree. open: the side that is cut ends before that is known.
+    """
+    x = y = same = size = 0
+    while True:
+        n, over = min(a.size - x, b.size - y), False
+        if n:
+            equal = a[x : x + n] == b[y : y + n]
+            gain = np.cumsum(np.where(equal, 1, -2))
+            fell = np.flatnonzero(np.maximum(np.maximum.accumulate(gain), 0) - gain >= DROP)
+            over = fell.size > 0
+            gain = gain[: fell[0]] if over else gain
+            best = int(np.argmax(gain)) if gain.size else 0
+            if gain.size and gain[best] > 0:
+                x, y, same, size = x + best + 1, y + best + 1, same + int(equal[: best + 1].sum()), size + best + 1
+        for i, j in _SHIFTS:
+            p, q = a[x + i : x + i + RESUME], b[y + j : y + j + RESUME]
+            if p.size == q.size == RESUME and p[0] == q[0] and int((p == q).sum()) >= RESUME - 1:
+                x, y, size = x + i, y + j, size + max(i, j)
+                break
+        else:
+            more, rest = a.size - x, b.size - y
+            return x, y, same, size, not over and ((cut[0] and more <= rest + SHIFT + RESUME) or (cut[1] and rest <= more + SHIFT + RESUME))
+
+
+def _hopeless(a: np.ndarray, b: np.ndarray, margin: int) -> np.ndarray:
+    """Rows of words around a single seed, ``margin`` on each side, in which nothing grows up to an edge; may miss some."""
+    out = np.ones(len(a), bool)
+    for x, y in ((a[:, :margin][:, ::-1], b[:, :margin][:, ::-1]), (a[:, margin + K :], b[:, margin + K :])):
+        gain = np.cumsum(np.where(x == y, 1, -2), axis=1)
+        out &= (np.maximum(np.maximum.accumulate(gain, axis=1), 0) - gain >= DROP).any(axis=1)
+        for i, j in _SHIFTS:
+            n = margin - max(i, j)
+            equal = np.cumsum(np.pad(x[:, i : i + n] == y[:, j : j + n], ((0, 0), (1, 0))), axis=1)
+            out &= (equal[:, RESUME:] - equal[:, :-RESUME] < RESUME - 1).all(axis=1)
+    return out
 
 
 def _path(left: np.ndarray, right: np.ndarray, p: list[int], r: list[int]) -> list[tuple[int, ...]]:
@@ -322,12 +359,14 @@ def _narrowed(left: np.ndarray, right: np.ndarray, path: list[tuple[int, ...]])
     """The path with gaps cut down to what the runs beside them don't grow over."""
     out = path[:1]
     for (x, i, y, j, same, size), (_, end, _, rend, run, cols) in zip(path[1::2], path[2::2], strict=True):
-        n, s = _beyond(left[x:i], right[y:j])
+        n, rn, s, grown, _ = _beyond(left[x:i], right[y:j])
         a, _, b, _, e, c = out[-1]
-        out[-1] = (a, x + n, b, y + n, e + s, c + n)
-        m, t = _beyond(left[x + n : i][::-1], right[y + n : j][::-1])
-        inner = _gap(left[x + n : i - m], right[y + n : j - m]) if n or m else (same, size)
-        out += [(x + n, i - m, y + n, j - m, *inner), (i - m, end, j - m, rend, run + t, cols + m)]
+        out[-1] = (a, x + n, b, y + rn, e + s, c + grown)
+        x, y = x + n, y + rn
+        m, rm, t, back, _ = _beyond(left[x:i][::-1], right[y:j][::-1])
+        i, j = i - m, j - rm
+        inner = _gap(left[x:i], right[y:j]) if grown or back else (same, size)
+        out += [(x, i, y, j, *inner), (i, end, j, rend, run + t, cols + back)]
     return out
 
 
@@ -342,26 +381,32 @@ def _longest(path: list[tuple[int, ...]]) -> tuple[int, int]:
     return 2 * i, 2 * int(last[i])
 
 
-def align(left: np.ndarray, right: np.ndarray, steps: np.ndarray, at: int, ref_at: int) -> list[tuple[int, ...]]:
+def align(left: np.ndarray, right: np.ndarray, steps: np.ndarray, at: int, ref_at: int, cut=(False, False)) -> list[tuple[int, ...]] | None:
     """(start, end, ref start, ref end, equal words, columns) of the passages of a chain; left and right begin at words at and ref_at.
 
+    cut: whether left and right are cut off behind their last words. None if more words are needed.
+
     A chain that is similar enough is one passage. Another is split at the gaps that make it unlike: its longest similar
     stretch is taken, then that of what lies before it and behind it.
     """
 
+    undecided = False
+
     def grown(path, low, high):
         """The stretch with its ends grown between the words (both sides) low and high."""
         (start, _, rstart, *_), (_, x, _, y, *_) = path[0], path[-1]
         same, size = (sum(b[c] for b in path) for c in (4, 5))
-        n, s = _beyond(left[low[0] : start][::-1], right[low[1] : rstart][::-1])
-        m, t = _beyond(left[x : high[0]], right[y : high[1]])
-        return start - n, x + m, rstart - n, y + m, same + s + t, size + n + m
+        nonlocal undecided
+        n, rn, s, back, one = _beyond(left[low[0] : start][::-1], right[low[1] : rstart][::-1], (low == ends[0] and at > 0, low == ends[0] and ref_at > 0))
+        m, rm, t, ahead, two = _beyond(left[x : high[0]], right[y : high[1]], (high == ends[1] and cut[0], high == ends[1] and cut[1]))
+        undecided |= one or two
+        return start - n, x + m, rstart - rn, y + rm, same + s + t, size + back + ahead
 
     def good(found):
         return found[1] - found[0] >= LEAST and found[4] >= SIMILAR * found[5]
 
-    path = _path(left, right, (steps[:, 0] - at).tolist(), (steps[:, 1] - ref_at).tolist())
     ends = (0, 0), (left.size, right.size)
+    path = _path(left, right, (steps[:, 0] - at).tolist(), (steps[:, 1] - ref_at).tolist())
     found = [grown(path, *ends)]
     if not good(found[0]):
         found, rest = [], [(_narrowed(left, right, path), *ends)]
@@ -377,6 +422,8 @@ def align(left: np.ndarray, right: np.ndarray, steps: np.ndarray, at: int, ref_a
                 rest.append((part[: i - 1], low, (part[i][0], part[i][2])))
             if j + 1 < len(part):
                 rest.append((part[j + 2 :], (part[j][1], part[j][3]), high))
+    if undecided:
+        return None
     return [(s + at, e + at, rs + ref_at, re_ + ref_at, same, size) for s, e, rs, re_, same, size in sorted(found)]
 
 
@@ -397,13 +444,20 @@ def _aligned(chain: DataFrame, kept: DataFrame, margin: int) -> DataFrame:
 
     def run(batches):
         for b in sliced(batches):
-            out = []
+            out, weak, wide = [], b.column(2).to_numpy(zero_copy_only=False), 2 * margin + K
+            length = [pc.binary_length(b.column(c)).to_numpy() for c in (8, 9)]
+            first, last = (b.column(c).to_numpy() for c in (3, 4))
+            alone = np.flatnonzero(weak & (last - first == K) & (length[0] == 4 * wide) & (length[1] == 4 * wide)) if margin == MARGIN else np.zeros(0, int)
+            if alone.size:
+                x, y = (np.frombuffer(b"".join(b.column(c).take(pa.array(alone)).to_pylist()), "<u4").reshape(-1, wide) for c in (8, 9))
+                b = b.filter(pa.array(~np.isin(np.arange(b.num_rows), alone[_hopeless(x, y, margin)])))
             for row in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
                 doc, ref, weak, first, last, ref_first, ref_last, steps, x, y = row
                 at, ref_at = max(0, first - margin), max(0, ref_first - margin)
-                found = align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.frombuffer(steps, "<i4").reshape(-1, 2).astype(np.int64), at, ref_at)
                 # a side that is cut off ends just where it was asked to
-                if any(s == at > 0 or rs == ref_at > 0 or e == last + margin or re_ == ref_last + margin for s, e, rs, re_, *_ in found):
+                cuts = len(x) // 4 == last + margin - at, len(y) // 4 == ref_last + margin - ref_at
+                found = align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.frombuffer(steps, "<i4").reshape(-1, 2).astype(np.int64), at, ref_at, cuts)
+                if found is None:
                     out.append((*[None] * 8, *row[:8]))
                     continue
                 out += [(doc, s, e, ref, rs, re_, same, same / size, None, None, weak, *[None] * 5) for s, e, rs, re_, same, size in found]
@@ -439,6 +493,9 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     found = materialize(occurrences(docs), "seeds")
     chain = materialize(chained(anchors(found)), "chains")
     discard(found)
+    del found
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the links' shuffle files go before texts are dealt out
     ids = chain.select(F.col("doc").alias("id")).union(chain.select(F.col("ref").alias("id"))).distinct()
     kept = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
     margin, done = MARGIN, None

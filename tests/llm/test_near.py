@@ -191,6 +191,24 @@ def test_parts_with_earlier_owners(spark):
         assert any(r.doc_id == doc and r.ref_doc_id == ref and abs(r.end_word - r.start_word - size) <= 4 and r.similarity >= 0.9 for r in found), (doc, ref, size)
 
 
+def test_recall_of_edited_passages(spark):
+    """Passages with a word replaced, inserted or dropped at every n-th place, down to 0.8 equal words."""
+    rng, rows, kinds = random.Random(11), [], [(60, 12), (60, 10), (60, 8), (100, 8), (60, 6), (100, 6)]
+    for k in range(240):
+        size, every = kinds[k % len(kinds)]
+        word = lambda: f"{rng.getrandbits(30):x}"
+        whole, edited = [word() for _ in range(size)], []
+        for i, w in enumerate(whole):
+            kind = "s" if i % every < every - 1 or k % 12 < 6 else rng.choice("sid")
+            change = i % every == every - 1
+            edited += [w] if not change else [word()] if kind == "s" else [w, word()] if kind == "i" else []
+        rows += [(2 * k + side, " ".join([*(word() for _ in range(80)), *part, *(word() for _ in range(80))])) for side, part in enumerate((whole, edited))]
+    found = {(r.doc_id, r.ref_doc_id) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {(2 * k + 1, 2 * k) for k in range(240)} and len(found) >= 0.95 * 240
+    for j in range(len(kinds)):
+        assert sum((2 * k + 1, 2 * k) in found for k in range(j, 240, len(kinds))) >= (36 if kinds[j][1] > 6 else 32)
+
+
 def _embedding_rows(seed=6):
     rng = np.random.default_rng(seed)
     rows, dense = [], rng.standard_normal(24)
