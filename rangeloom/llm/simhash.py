@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import complete_groups, materialize, record_batch, sliced, table, utf8
 from rangeloom.llm.graph import components
-from rangeloom.llm.passages import word_hashes, words
+from rangeloom.llm.passages import _mixed, word_hashes, words
 from rangeloom.llm.rows import without
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -203,6 +203,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
 
 #: Fingerprints of the search by word sets, and the share of common five-word shingles that makes texts near copies.
 VIEWS, FIVE, SIMILAR = 3, 5, 0.8
+#: Minhash bands of the search by shingles, and the hashes of one: a pair of similarity s shares one with 1 - (1 - s ** DEPTH) ** BANDS.
+BANDS, DEPTH = 20, 5
 #: Rows of a block in which texts are compared that the linked pairs didn't settle.
 BLOCK = 256
 
@@ -239,6 +241,23 @@ def _shingles(data: bytes) -> np.ndarray:
     return np.unique(h)
 
 
+def bands(texts: list[bytes]) -> np.ndarray:
+    """BANDS keys of each text's set of five-word shingles; similar sets share some, wherever words were added or cut."""
+    value, owner, _ = word_hashes(texts)
+    value, cuts = value.astype("<u4"), np.searchsorted(owner, np.arange(len(texts) + 1))
+    sets = [_shingles(value[a:e].tobytes()) for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    out = np.zeros((len(texts), BANDS), np.uint64)
+    if not sets:
+        return out.view(np.int64)
+    begins = np.concatenate([[0], np.cumsum([x.size for x in sets])[:-1]])
+    h = _mixed(np.concatenate(sets))
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, DEPTH), np.uint64) * np.uint64(2) + np.uint64(1)
+    for b in range(BANDS):
+        for a in odd[b]:
+            out[:, b] = _mixed(out[:, b] + np.minimum.reduceat(h * a, begins))
+    return out.view(np.int64)
+
+
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     if min(x.size, y.size) < SIMILAR * max(x.size, y.size):
         return 0.0  # it can't reach SIMILAR
@@ -273,22 +292,22 @@ def _apart(around: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(several, "around").select("node", "around", "part", (F.col("part") == F.col("top.part")).alias("largest"))
 
 
-def _across(nodes: DataFrame, views: list[str]) -> DataFrame:
-    """(src, dst) of all similar texts of different parts of a group that are near in some view.
+def _across(nodes: DataFrame, views: list[str], keyed: list[str]) -> DataFrame:
+    """(src, dst) of all similar texts of different parts of a group that are near in some view or equal in some band.
 
-    nodes: around, node, part, largest, the views and words. A group is dealt out as pairs of blocks; only pairs that are
+    nodes: around, node, part, largest, the views, the bands (keyed) and words. A group is dealt out as pairs of blocks; only pairs that are
     verified leave them. Texts of the largest part aren't compared with each other.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = nodes.join(nodes.groupBy("around").agg(F.count("*").alias("n")), "around")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keys = ["around", "i", "j"]
-    rows = rows.select("around", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", F.col("largest").cast("int"), *views, "words")
+    rows = rows.select("around", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", F.col("largest").cast("int"), *views, *keyed, "words")
 
     def near(batches):
         for t, cuts in complete_groups(batches, 3):
             i, j, own, node, part, largest = (t.column(c).to_numpy() for c in range(1, 7))
-            prints, words_, out = [t.column(7 + v).to_numpy() for v in range(len(views))], t.column(7 + len(views)), []
+            prints, words_, out = [t.column(7 + v).to_numpy() for v in range(len(views) + len(keyed))], t.column(7 + len(views) + len(keyed)), []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 left, right = np.flatnonzero(own[a:b] == i[a]) + a, np.flatnonzero(own[a:b] == j[a]) + a
                 sets: dict[int, np.ndarray] = {}
@@ -300,8 +319,10 @@ def _across(nodes: DataFrame, views: list[str]) -> DataFrame:
 
                 for q in left.tolist():
                     hit = np.zeros(right.size, bool)
-                    for x in prints:
+                    for x in prints[: len(views)]:
                         hit |= _close(x[right], x[q])
+                    for x in prints[len(views) :]:
+                        hit |= x[right] == x[q]
                     hit &= (part[right] != part[q]) & ((largest[right] == 0) | (largest[q] == 0))
                     if i[a] == j[a]:
                         hit &= node[right] > node[q]
@@ -318,29 +339,30 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, component_id of every row with an id: groups of copies, and of texts with five-word similarity of SIMILAR or more.
 
     Copies (equal word sequences) are one text. Texts are compared with the first text of an equal fingerprint, and the first
-    texts of fingerprints that lie within RADIUS bits with each other, in each of the VIEWS; each such pair is verified on
-    its whole texts. A large group costs a few pairs a text, not all pairs; what these don't settle is compared in full.
+    texts of fingerprints that lie within RADIUS bits with each other, in each of the VIEWS, and with the first text of an equal
+    key in each of the BANDS; each such pair is verified on its whole texts. A large group costs a few pairs a text, not all pairs; what these don't settle is compared in full.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    views = [f"f{v}" for v in range(VIEWS)]
-    fields = [("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), *((f, pa.int64()) for f in views)]
+    views, keyed = [f"f{v}" for v in range(VIEWS)], [f"b{v}" for v in range(BANDS)]
+    fields = [("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), *((f, pa.int64()) for f in views + keyed)]
 
     def run(batches):
         for b in sliced(batches):
             texts = utf8(b.column(1))
             contents = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             halves = np.frombuffer(b"".join(contents), "<i8").reshape(-1, 2)
-            yield record_batch(fields, [b.column(0), halves[:, 0], halves[:, 1], *word_views(texts).T])
+            yield record_batch(fields, [b.column(0), halves[:, 0], halves[:, 1], *word_views(texts).T, *bands(texts).T])
 
     rows = materialize(docs.mapInArrow(run, ", ".join(f"{n} long" for n, _ in fields)), "views")
-    texts = materialize(rows.groupBy("c0", "c1", *views).agg(F.min("doc_id").alias("node")), "texts")
-    pairs = None
+    texts = materialize(rows.groupBy("c0", "c1", *views, *keyed).agg(F.min("doc_id").alias("node")), "texts")
+    each = texts.select("node", F.posexplode(F.array(*keyed)).alias("band", "key"))
+    heads = each.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = each.join(heads, ["band", "key"]).where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
     for f in views:
         heads = texts.groupBy(f).agg(F.min("node").alias("head"))
         same = texts.join(heads, f).where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
         near = links(heads.select(F.col("head").alias("node"), F.col(f).alias("fp")))
-        found = same.union(near)
-        pairs = found if pairs is None else pairs.union(found)
+        pairs = pairs.union(same).union(near)
     pairs = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "pairs")
     ids = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
     known = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
@@ -359,8 +381,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         found = materialize(components(verified), "verified-groups")
         apart = materialize(_apart(around, found), "apart")
         if not apart.isEmpty():
-            rest = apart.join(texts.select("node", *views), "node").join(known.withColumnRenamed("doc", "node"), "node")
-            found = components(verified.union(_across(rest, views)))
+            rest = apart.join(texts.select("node", *views, *keyed), "node").join(known.withColumnRenamed("doc", "node"), "node")
+            found = components(verified.union(_across(rest, views, keyed)))
     named = texts.join(found, "node", "left").select("c0", "c1", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, ["c0", "c1"]).select("doc_id", "component_id")
 

@@ -108,6 +108,22 @@ def test_one_of_each(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_appended_and_cut_copies(spark):
+    """Copies with words appended, put before or cut, against brute-force similarity."""
+    rng, texts = random.Random(12), []
+    for k in range(160):
+        n = (60, 150, 400, 1000)[k % 4]
+        word = lambda: f"{rng.getrandbits(30):x}"
+        whole = [word() for _ in range(n)]
+        more, share = [word() for _ in range(n)], (0.05, 0.1, 0.15, 0.2)[k // 4 % 4]
+        copy = (whole + more[: int(n * share)], more[: int(n * share)] + whole, whole[: n - int(n * share)], whole[int(n * share) :])[k // 16 % 4]
+        texts += [" ".join(whole), " ".join(copy)]
+    want = {2 * k + 1 for k in range(160) if _jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {d for d, c in found.items() if c != d}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 120, (len(got), len(want))
+
+
 def test_winnowing_reaches_each_shared_run():
     rng = random.Random(4)
     for n in (passages.K + passages.SPAN - 1, 40):
