@@ -287,8 +287,8 @@ def _apart(around: DataFrame, found: DataFrame) -> DataFrame:
     named = around.withColumnRenamed("component", "around").join(found.withColumnRenamed("component", "part"), "node", "left")
     named = named.select("node", "around", F.coalesce("part", "node").alias("part"))
     parts = named.groupBy("around", "part").agg(F.count("*").alias("n"))
-    several = parts.groupBy("around").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("top"))
-    several = several.where((F.col("parts") > 1) & ((F.col("top.n") > 1) | (F.col("all") > CELL)))
+    several = parts.groupBy("around").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top"))
+    several = several.where("parts > 1")
     return named.join(several, "around").select("node", "around", "part", (F.col("part") == F.col("top.part")).alias("largest"))
 
 

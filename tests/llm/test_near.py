@@ -124,6 +124,31 @@ def test_appended_and_cut_copies(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 120, (len(got), len(want))
 
 
+def test_equal_word_sets(spark):
+    """Near copies whose first candidate has the same words in another order, few or many."""
+    texts, want = [], []
+    for k, many in enumerate((2, 14)):
+        w = [f"w{k}x{i}" for i in range(150)]
+        texts.append(" ".join(random.Random(20 + k).sample(w, 150)))
+        first = len(texts)
+        want.append(first - 1)
+        for i in range(many):
+            x = list(w)
+            x[10 + 3 * i], x[12 + 3 * i] = x[12 + 3 * i], x[10 + 3 * i]
+            texts.append(" ".join(x))
+            want.append(first)
+    assert want == _components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if _jaccard(texts[i], texts[j]) >= 0.8])
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(want))
+
+
+def test_small_groups_that_fell_apart(spark):
+    """A candidate group without a verified pair is compared in full, too."""
+    around = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
+    none = spark.createDataFrame([], "node long, component long")
+    assert {r.node for r in simhash._apart(around, none).collect()} == {1, 2, 3}
+
+
 def test_winnowing_reaches_each_shared_run():
     rng = random.Random(4)
     for n in (passages.K + passages.SPAN - 1, 40):
