@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,35 +40,51 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(texts)), sizes)[: word.size], slot.astype(np.int64)
 
 
-def fit(texts: list[bytes], labels: list[int], prior: np.ndarray):
-    """Weights (SLOTS x domains) and biases of a ridge multinomial regression on frequencies; prior: the domains' shares."""
-    k, n = len(DOMAINS), len(texts)
+def counted(texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Each text's distinct slots (uint16) and their shares of all its runs (float32): the sparse row of the classifier."""
+    row, slot = runs(texts)
+    key, n = np.unique(row * SLOTS + slot, return_counts=True)
+    cuts = np.searchsorted(key, np.arange(len(texts) + 1) * SLOTS)
+    slot, total = (key % SLOTS).astype("<u2"), np.bincount(row, minlength=len(texts))
+    share = (n / total[key // SLOTS]).astype("<f4")
+    return [(slot[a:e].tobytes(), share[a:e].tobytes()) for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def fit(rows: list[tuple[bytes, bytes]], labels: list[int], prior: np.ndarray):
+    """Weights (SLOTS x domains) and biases of a ridge multinomial regression on sparse rows; prior: the domains' shares.
+
+    Columns are brought to one scale and centred without a dense matrix; the first domain's weights are zero.
+    """
+    k, n = len(DOMAINS), len(rows)
     if not n:
         return np.zeros((SLOTS, k), np.float32), np.zeros(k)
-    x = np.zeros((n, SLOTS), np.float32)
-    for i in range(n):
-        slot = runs(texts[i : i + 1])[1]
-        x[i] = np.bincount(slot, minlength=SLOTS) / max(1, slot.size)
-    # by columns, without a second matrix
-    mean = x.mean(axis=0, dtype=np.float64)
-    square = np.einsum("ij,ij->j", x, x, dtype=np.float64) / n
-    scale = (1 / (np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4)).astype(np.float32)
-    x *= scale
-    center = (mean * scale).astype(np.float32)
-    x -= center
-    y = np.eye(k, dtype=np.float32)[labels]
-    weight = (prior / np.maximum(y.mean(axis=0), 1e-9))[labels].astype(np.float32)  # as if drawn with the true shares
-    w, b = np.zeros((SLOTS, k), np.float32), np.log(np.maximum(prior, 1e-6))
-    vw, rate, keep = np.zeros_like(w), 4.0 / SLOTS, 0.002 * SLOTS
+    slot = np.frombuffer(b"".join(s for s, _ in rows), "<u2")
+    share = np.frombuffer(b"".join(x for _, x in rows), "<f4")
+    sizes = np.fromiter((len(s) // 2 for s, _ in rows), np.int64, n)  # never zero, spacers count
+    begins = np.cumsum(sizes) - sizes
+    mean = np.bincount(slot, share, SLOTS) / n
+    square = np.bincount(slot, np.square(share, dtype=np.float64), SLOTS) / n
+    scale = 1 / (np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4)
+    share = share * scale.astype(np.float32)[slot]
+    center = mean * scale
+    y = np.eye(k)[labels]
+    weight = (prior / np.maximum(y.mean(axis=0), 1e-9))[labels]  # as if drawn with the true shares
+    w, b = np.zeros((SLOTS, k)), np.log(np.maximum(prior, 1e-6))
+    vw, rate, keep = np.zeros_like(w), 8.0 / SLOTS, 0.0005 * SLOTS
     for _ in range(LEARN):
-        z = x @ w + b
+        z = np.zeros((n, k))
+        for c in range(1, k):
+            z[:, c] = np.add.reduceat(share * w[:, c].astype(np.float32)[slot], begins)
+        z += b - center @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         gap = (p / p.sum(axis=1, keepdims=True) - y) * weight[:, None] / n
-        vw = 0.9 * vw - rate * (x.T @ gap + keep / SLOTS * 0.05 * w)
+        for c in range(1, k):
+            turn = np.bincount(slot, share * np.repeat(gap[:, c].astype(np.float32), sizes), SLOTS) - center * gap[:, c].sum()
+            vw[:, c] = 0.9 * vw[:, c] - rate * (turn + keep / SLOTS * 0.05 * w[:, c])
         w += vw
-        b -= 0.3 * gap.sum(axis=0)
-    w = (w * scale[:, None]).astype(np.float32)
-    return w, b - (center / scale) @ w
+        b = b - 0.3 * gap.sum(axis=0)
+    w = w * scale[:, None]
+    return w.astype(np.float32), b - mean @ w
 
 
 def posteriors(texts: list[bytes], model) -> np.ndarray:
@@ -93,11 +110,17 @@ def learn(docs: DataFrame, labels: DataFrame):
     for k, v in n.items():
         rate = F.when(F.col("y") == k, F.lit(min(1.0, SAMPLE / v))).otherwise(rate)
     few = known.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate)
-    rows = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(few), "i").where("text is not null").collect()
-    rows.sort(key=lambda r: (r["i"], r["text"]))
-    texts, known = [r["text"].encode() for r in rows], [r["y"] for r in rows]
-    del rows
-    return fit(texts, known, prior / prior.sum())
+    picked = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(few), "i").where("text is not null").select("i", "y", "text")
+
+    def features(batches):
+        for x in sliced(batches):
+            data = utf8(x.column(2))
+            marks = [xxhash.xxh64_intdigest(t) >> 1 for t in data]
+            yield record_batch([("i", pa.int64()), ("y", pa.int32()), ("h", pa.int64()), ("s", pa.binary()), ("x", pa.binary())], [x.column(0), x.column(1), marks, *zip(*counted(data), strict=True)])
+
+    found = picked.mapInArrow(features, "i long, y int, h long, s binary, x binary").dropDuplicates(["i", "h"]).toArrow().sort_by([("i", "ascending"), ("h", "ascending")])
+    rows = list(zip(found.column("s").to_pylist(), found.column("x").to_pylist(), strict=True))
+    return fit(rows, found.column("y").to_pylist(), prior / prior.sum())
 
 
 def memberships(docs: DataFrame, model, keep=()) -> DataFrame:
