@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -42,12 +45,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a local master, which is one process, may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/rangeloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"file://{tempfile.gettempdir()}/rangeloom-checkpoints"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+#: Seconds between two releases of what finished plans have left behind.
+RELEASE = 4.0
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Lets finished plans go: their broadcasts and shuffle files are cleaned once the driver's collector sees them gone."""
+    global _released
+    if time.monotonic() - _released > RELEASE:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -57,13 +75,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rangeloom_path = path
+    release(spark)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a materialised table that no later plan reads."""
-    path = getattr(df, "_rangeloom_path", None)
-    if path:
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_rangeloom_path", None)
+        if not path:
+            continue
         jvm = df.sparkSession.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

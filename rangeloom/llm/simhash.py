@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import complete_groups, materialize, record_batch, sliced, table, utf8
 from rangeloom.llm.graph import components
-from rangeloom.llm.passages import _mixed, word_hashes, words
-from rangeloom.llm.rows import without
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a grid cell up to which all their links are listed.
@@ -153,7 +151,7 @@ def _reach(fp: np.ndarray):
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(src, dst) of pairs of distinct fingerprints (columns node, fp) that differ in ``RADIUS`` bits or fewer.
+    """(src, dst) of pairs of distinct fingerprints of a view (columns view, node, fp) that differ in ``RADIUS`` bits or fewer.
 
     All of them in cells of up to ``CELL`` members; in larger cells those that connect the members, one a member and cell,
     so that a group's links never outgrow its rows. Two fingerprints within the radius share a cell: of the first half, where
@@ -162,11 +160,14 @@ def links(fps: DataFrame) -> DataFrame:
     """
     first = F.explode(_around(_half(F.col("fp"), 0))).alias("cell")
     second = F.explode(_around(_half(F.col("fp"), 1), only_up=True)).alias("cell")
-    spread = fps.select(first, "fp").union(fps.select(second, "fp").select(F.col("cell") + F.lit(1 << 32), "fp"))
+    spread = fps.select("view", first, "fp").union(fps.select("view", second, "fp").select("view", F.col("cell") + F.lit(1 << 32), "fp"))
+    spread = spread.select((F.col("cell") + F.col("view").cast("long") * F.lit(1 << 33)).alias("cell"), "fp")
 
     def verify(batches):
         for t, cuts in complete_groups(batches, 1):
             cell, fp, sizes, out = t.column(0).to_numpy(), t.column(1).to_numpy(), np.diff(cuts), []
+            view = cell >> 33
+            cell = cell & ((1 << 33) - 1)
             own = _own_cell(fp, cell >= 1 << 32)
             end = np.repeat(np.where(sizes <= CELL, cuts[1:], cuts[:-1]), sizes)  # large cells are left out here
             at = np.flatnonzero(end - np.arange(fp.size) > 1)
@@ -176,225 +177,31 @@ def links(fps: DataFrame) -> DataFrame:
                 # pairs within one step also meet elsewhere; they count in a cell that one of them has itself
                 far = np.bitwise_count(own[hit] ^ own[hit + step]) > 1
                 hit = hit[far | (own[hit] == cell[hit]) | (own[hit + step] == cell[hit])]
-                out.append((fp[hit], fp[hit + step]))
+                out.append((view[hit], fp[hit], fp[hit + step]))
                 step += 1
                 at = at[end[at] - at > step]
             for k in np.flatnonzero(sizes > CELL).tolist():
-                out += _reach(fp[cuts[k] : cuts[k + 1]])
+                out += [(np.full(x.size, view[cuts[k]]), x, y) for x, y in _reach(fp[cuts[k] : cuts[k + 1]])]
             if out:
-                x, y = (np.concatenate(c) for c in zip(*out, strict=True))
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield record_batch([("x", pa.int64()), ("y", pa.int64())], [pairs[:, 0], pairs[:, 1]])
+                v, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+                pairs = np.unique(np.stack([v, np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                pairs = pairs[pairs[:, 1] != pairs[:, 2]]
+                yield record_batch([("view", pa.int32()), ("x", pa.int64()), ("y", pa.int64())], list(pairs.T))
 
-    pairs = spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "x long, y long").distinct()
-    named = pairs.join(fps.select(F.col("fp").alias("x"), F.col("node").alias("src")), "x")
-    return named.join(fps.select(F.col("fp").alias("y"), F.col("node").alias("dst")), "y").select("src", "dst")
+    pairs = spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "view int, x long, y long").distinct()
+    named = pairs.join(fps.select("view", F.col("fp").alias("x"), F.col("node").alias("src")), ["view", "x"])
+    return named.join(fps.select("view", F.col("fp").alias("y"), F.col("node").alias("dst")), ["view", "y"]).select("src", "dst")
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable) for every row."""
     rows = materialize(fingerprints(docs, text, doc_id, width), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = components(links(nodes.where(F.col("node").isNotNull())))
+    found = components(links(nodes.where(F.col("node").isNotNull()).withColumn("view", F.lit(0))))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of the search by word sets, and the share of common five-word shingles that makes texts near copies.
-VIEWS, FIVE, SIMILAR = 3, 5, 0.8
-#: Minhash bands of the search by shingles, and the hashes of one: a pair of similarity s shares one with 1 - (1 - s ** DEPTH) ** BANDS.
-BANDS, DEPTH = 20, 5
-#: Rows of a block in which texts are compared that the linked pairs didn't settle.
-BLOCK = 256
-
-
-def word_views(texts: list[bytes]) -> np.ndarray:
-    """VIEWS fingerprints of each text's set of words; an edited word changes one feature, not a run of shingles."""
-    value, owner, _ = word_hashes(texts)
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    first = np.ones(value.size, bool)
-    first[1:] = (np.diff(owner) != 0) | (value[1:] != value[:-1])
-    value, owner = value[first], owner[first]
-    out = np.zeros((len(texts), VIEWS), np.int64)
-    if not value.size:
-        return out
-    begins = np.flatnonzero(np.diff(owner, prepend=-1))
-    sizes = np.diff(np.append(begins, owner.size))
-    for v in range(VIEWS):
-        h = (value ^ np.uint64(v * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((h ^ (h >> np.uint64(29))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-        out[owner[begins], v] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-    return out
-
-
-def _shingles(data: bytes) -> np.ndarray:
-    """Sorted hashes of the five-word shingles of a sequence of word hashes; a shorter text is one shingle."""
-    w = np.frombuffer(data, "<u4").astype(np.uint64)
-    n = max(1, w.size - FIVE + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(min(FIVE, w.size)):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : n + j] + np.uint64(1)
-    return np.unique(h)
-
-
-def bands(texts: list[bytes]) -> np.ndarray:
-    """BANDS keys of each text's set of five-word shingles; similar sets share some, wherever words were added or cut."""
-    value, owner, _ = word_hashes(texts)
-    value, cuts = value.astype("<u4"), np.searchsorted(owner, np.arange(len(texts) + 1))
-    sets = [_shingles(value[a:e].tobytes()) for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    out = np.zeros((len(texts), BANDS), np.uint64)
-    if not sets:
-        return out.view(np.int64)
-    begins = np.concatenate([[0], np.cumsum([x.size for x in sets])[:-1]])
-    h = _mixed(np.concatenate(sets))
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, DEPTH), np.uint64) * np.uint64(2) + np.uint64(1)
-    for b in range(BANDS):
-        for a in odd[b]:
-            out[:, b] = _mixed(out[:, b] + np.minimum.reduceat(h * a, begins))
-    return out.view(np.int64)
-
-
-def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    if min(x.size, y.size) < SIMILAR * max(x.size, y.size):
-        return 0.0  # it can't reach SIMILAR
-    both = np.intersect1d(x, y, assume_unique=True).size
-    return both / max(x.size + y.size - both, 1)
-
-
-def _similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of the sets of five-word shingles."""
-    return _jaccard(_shingles(a), _shingles(b))
-
-
-def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose texts are similar enough; known: doc, words."""
-    both = pairs.join(known.withColumnsRenamed({"doc": "src", "words": "a"}), "src").join(known.withColumnsRenamed({"doc": "dst", "words": "b"}), "dst")
-
-    def verify(batches):
-        for b in sliced(batches):
-            good = [_similarity(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield record_batch([("src", pa.int64()), ("dst", pa.int64())], [c.filter(pa.array(good, pa.bool_())) for c in b.columns[:2]])
-
-    return both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long")
-
-
-def _apart(around: DataFrame, found: DataFrame) -> DataFrame:
-    """node, around, part, largest of the candidate groups (node, component) that consist of several verified parts."""
-    named = around.withColumnRenamed("component", "around").join(found.withColumnRenamed("component", "part"), "node", "left")
-    named = named.select("node", "around", F.coalesce("part", "node").alias("part"))
-    parts = named.groupBy("around", "part").agg(F.count("*").alias("n"))
-    several = parts.groupBy("around").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top"))
-    several = several.where("parts > 1")
-    return named.join(several, "around").select("node", "around", "part", (F.col("part") == F.col("top.part")).alias("largest"))
-
-
-def _across(nodes: DataFrame, views: list[str], keyed: list[str]) -> DataFrame:
-    """(src, dst) of all similar texts of different parts of a group that are near in some view or equal in some band.
-
-    nodes: around, node, part, largest, the views, the bands (keyed) and words. A group is dealt out as pairs of blocks; only pairs that are
-    verified leave them. Texts of the largest part aren't compared with each other.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = nodes.join(nodes.groupBy("around").agg(F.count("*").alias("n")), "around")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keys = ["around", "i", "j"]
-    rows = rows.select("around", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", F.col("largest").cast("int"), *views, *keyed, "words")
-
-    def near(batches):
-        for t, cuts in complete_groups(batches, 3):
-            i, j, own, node, part, largest = (t.column(c).to_numpy() for c in range(1, 7))
-            prints, words_, out = [t.column(7 + v).to_numpy() for v in range(len(views) + len(keyed))], t.column(7 + len(views) + len(keyed)), []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                left, right = np.flatnonzero(own[a:b] == i[a]) + a, np.flatnonzero(own[a:b] == j[a]) + a
-                sets: dict[int, np.ndarray] = {}
-
-                def shingles(k, sets=sets, words_=words_):
-                    if k not in sets:
-                        sets[k] = _shingles(words_[k].as_py())
-                    return sets[k]
-
-                for q in left.tolist():
-                    hit = np.zeros(right.size, bool)
-                    for x in prints[: len(views)]:
-                        hit |= _close(x[right], x[q])
-                    for x in prints[len(views) :]:
-                        hit |= x[right] == x[q]
-                    hit &= (part[right] != part[q]) & ((largest[right] == 0) | (largest[q] == 0))
-                    if i[a] == j[a]:
-                        hit &= node[right] > node[q]
-                    for k in right[hit].tolist():
-                        if _jaccard(shingles(q), shingles(k)) >= SIMILAR:
-                            out.append((max(node[q], node[k]), min(node[q], node[k])))
-            if out:
-                yield record_batch([("src", pa.int64()), ("dst", pa.int64())], [np.array(c, np.int64) for c in zip(*out, strict=True)])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(near, "src long, dst long")
-
-
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, component_id of every row with an id: groups of copies, and of texts with five-word similarity of SIMILAR or more.
-
-    Copies (equal word sequences) are one text. Texts are compared with the first text of an equal fingerprint, and the first
-    texts of fingerprints that lie within RADIUS bits with each other, in each of the VIEWS, and with the first text of an equal
-    key in each of the BANDS; each such pair is verified on its whole texts. A large group costs a few pairs a text, not all pairs; what these don't settle is compared in full.
-    """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    views, keyed = [f"f{v}" for v in range(VIEWS)], [f"b{v}" for v in range(BANDS)]
-    fields = [("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), *((f, pa.int64()) for f in views + keyed)]
-
-    def run(batches):
-        for b in sliced(batches):
-            texts = utf8(b.column(1))
-            contents = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            halves = np.frombuffer(b"".join(contents), "<i8").reshape(-1, 2)
-            yield record_batch(fields, [b.column(0), halves[:, 0], halves[:, 1], *word_views(texts).T, *bands(texts).T])
-
-    rows = materialize(docs.mapInArrow(run, ", ".join(f"{n} long" for n, _ in fields)), "views")
-    texts = materialize(rows.groupBy("c0", "c1", *views, *keyed).agg(F.min("doc_id").alias("node")), "texts")
-    each = texts.select("node", F.posexplode(F.array(*keyed)).alias("band", "key"))
-    heads = each.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = each.join(heads, ["band", "key"]).where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-    for f in views:
-        heads = texts.groupBy(f).agg(F.min("node").alias("head"))
-        same = texts.join(heads, f).where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-        near = links(heads.select(F.col("head").alias("node"), F.col(f).alias("fp")))
-        pairs = pairs.union(same).union(near)
-    pairs = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "pairs")
-    ids = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
-    known = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
-    verified = materialize(_verified(pairs, known), "verified")
-    found = materialize(components(verified), "verified-groups")
-    # Candidates that connect a large cell may fail where others would not: groups of candidates that fell apart are looked
-    # at again, first against the best linked text of their largest part, then each rest against all its near texts.
-    around = materialize(components(pairs), "candidate-groups")
-    apart = materialize(_apart(around, found), "apart")
-    if not apart.isEmpty():
-        ends = verified.select(F.col("src").alias("node")).union(verified.select(F.col("dst").alias("node")))
-        linked = ends.groupBy("node").agg(F.count("*").alias("n")).join(apart.where("largest"), "node")
-        hubs = linked.groupBy("around").agg(F.max(F.struct("n", "node")).alias("h")).select("around", F.col("h.node").alias("dst"))
-        again = apart.where("not largest").join(hubs, "around").select(F.col("node").alias("src"), "dst")
-        verified = materialize(verified.union(_verified(again, known)), "verified")
-        found = materialize(components(verified), "verified-groups")
-        apart = materialize(_apart(around, found), "apart")
-        if not apart.isEmpty():
-            rest = apart.join(texts.select("node", *views, *keyed), "node").join(known.withColumnRenamed("doc", "node"), "node")
-            found = components(verified.union(_across(rest, views, keyed)))
-    named = texts.join(found, "node", "left").select("c0", "c1", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, ["c0", "c1"]).select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The table's rows without all but the first document (by id) of each group; rows with a null id stay."""
-    found = materialize(near_copies(docs), "groups")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
-    return without(docs, dropped, once=again)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from rangeloom.llm import graph, neighbours, passages, simhash
+from rangeloom.llm import graph, near, neighbours, passages, simhash
 from rangeloom.llm.catalogue import queries
 
 from .conftest import prose
@@ -53,7 +53,7 @@ def test_links_are_complete(spark):
             values.add(b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 8))))
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame(list(enumerate(signed)), "node long, fp long")).collect()}
+    found = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(0, *x) for x in enumerate(signed)], "view int, node long, fp long")).collect()}
     want = {(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 4}
     assert found == {tuple(sorted(p)) for p in want}
 
@@ -68,7 +68,7 @@ def test_dense_cells_stay_connected(spark):
     values = np.array(sorted(values), np.uint64)
     signed = values.view(np.int64).tolist()
     pairs = [tuple(p) for p in zip(*np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4, 1)), strict=True)]
-    found = [(r.src, r.dst) for r in simhash.links(spark.createDataFrame(list(enumerate(signed)), "node long, fp long")).collect()]
+    found = [(r.src, r.dst) for r in simhash.links(spark.createDataFrame([(0, *x) for x in enumerate(signed)], "view int, node long, fp long")).collect()]
     assert {tuple(sorted(p)) for p in found} <= set(pairs)
     assert _components(len(values), found) == _components(len(values), pairs)
     assert len(found) <= 38 * len(values)
@@ -99,13 +99,13 @@ def test_one_of_each(spark, odd, none):
         texts.append(" ".join(w))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     want = _components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if _jaccard(texts[i], texts[j]) >= 0.8])
-    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    found = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
     assert found == dict(enumerate(want))
-    kept = simhash.one_of_each(docs)
+    kept = near.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
-    rest = simhash.one_of_each(odd)
+    rest = near.one_of_each(odd)
     assert rest.dtypes == odd.dtypes and sorted(str(r.doc_id) for r in rest.collect()) == sorted(["1", "2", "4", "None", "5", "6", "8", "9"])
-    assert simhash.one_of_each(none).count() == 0
+    assert near.one_of_each(none).count() == 0
 
 
 def test_appended_and_cut_copies(spark):
@@ -119,7 +119,7 @@ def test_appended_and_cut_copies(spark):
         copy = (whole + more[: int(n * share)], more[: int(n * share)] + whole, whole[: n - int(n * share)], whole[int(n * share) :])[k // 16 % 4]
         texts += [" ".join(whole), " ".join(copy)]
     want = {2 * k + 1 for k in range(160) if _jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8}
-    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     got = {d for d, c in found.items() if c != d}
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 120, (len(got), len(want))
 
@@ -138,15 +138,64 @@ def test_equal_word_sets(spark):
             texts.append(" ".join(x))
             want.append(first)
     assert want == _components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if _jaccard(texts[i], texts[j]) >= 0.8])
-    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert found == dict(enumerate(want))
 
 
-def test_small_groups_that_fell_apart(spark):
-    """A candidate group without a verified pair is compared in full, too."""
-    around = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
-    none = spark.createDataFrame([], "node long, component long")
-    assert {r.node for r in simhash._apart(around, none).collect()} == {1, 2, 3}
+def test_a_new_row_removes_no_link(spark):
+    """Near copies stay one group when the same words in another order come first."""
+    w = [f"w{i}" for i in range(150)]
+    near_one = list(w)
+    near_one[40], near_one[42] = near_one[42], near_one[40]
+    rows = [(1, " ".join(w)), (2, " ".join(near_one))]
+    for more in ([], [(0, " ".join(random.Random(5).sample(w, 150)))]):
+        found = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+        assert found[1] == found[2] == 1 and found.get(0, 0) == 0
+
+
+def test_clashing_ids_and_null_ids_stay(spark):
+    """Texts that share an id are told apart; null ids are never dropped, whatever slot a dropped text has."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(3, b), (3, c), (3, c), (1, a), (7, a), (None, a), (None, a), (None, a), (9, b), (2, None), (4, "")]
+    kept = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), (r.text or "")[:9]) for r in kept)
+    assert got == sorted([("3", b[:9]), ("3", c[:9]), ("1", a[:9]), ("None", a[:9]), ("None", a[:9]), ("None", a[:9]), ("2", "")])
+
+
+def test_blocks_of_a_key_that_fell_apart(spark):
+    """Every pair of a key is settled: texts around several centres under one key, by brute force."""
+    rng, rows = random.Random(15), []
+    for k in range(5):
+        w = [f"c{k}x{i}" for i in range(60)]
+        for _ in range(1 + 7 * k):
+            x = list(w)
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(60)] = f"e{rng.getrandbits(30)}"
+            rows.append(" ".join(x))
+    rng.shuffle(rows)
+    want = [(i, j) for i in range(len(rows)) for j in range(i) if _jaccard(rows[i], rows[j]) >= 0.8]
+    texts = spark.createDataFrame([(i, *range(near.VIEWS), *[7] * near.BANDS) for i in range(len(rows))], ["node", *near._KEYS])
+    value = [near.word_hashes([t.encode()])[0].astype("<u4").tobytes() for t in rows]
+    known = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(value)], "node long, words binary")
+    members = spark.createDataFrame([(near.VIEWS, 7, i) for i in range(len(rows))], "band int, key long, node long")
+    nothing = spark.createDataFrame([], "node long, component long")
+    found = {tuple(sorted(r, reverse=True)) for r in near._across(near._open(members, nothing), texts, known).collect()}
+    # the group that counts as the largest is not compared with itself; here each text is a group
+    assert _components(len(rows), found) == _components(len(rows), want)
+
+
+def test_recall_audit(spark):
+    """The audit's figure on copies with edits, additions and cuts."""
+    rng, rows = random.Random(16), []
+    for k in range(60):
+        w = prose(700 + k, 120).split()
+        x = list(w)
+        for _ in range(k % 4):
+            x[rng.randrange(len(x))] = "changed"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x + prose(900 + k, 1 + k % 12).split()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    share, links = near.recall(docs, near.near_copies(docs), sample=200)
+    assert links > 80 and share >= 0.97
 
 
 def test_winnowing_reaches_each_shared_run():
