@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import language, mixing, packing, pii, simhash
+from rangeloom.llm import language, mixing, near, packing, pii
 from rangeloom.llm.common import materialize, ship, table
 
 
@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first by id, of each group of copies and near copies."""
     ship(spark)
-    return simhash.one_of_each(docs)
+    return near.one_of_each(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
