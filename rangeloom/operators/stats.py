@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -29,11 +30,40 @@ def biggest_relation(engine, distribution: str, key_range: str | None = None) ->
     return best.select(F.col("b.relation").alias("relation"), F.col("b.n").alias("n"), (F.col("b.n") / F.col("total")).alias("share"))
 
 
+#: Bytes of a value of a type of fixed width.
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
 def sizes(engine, relation: str) -> DataFrame:
-    """key_range_id, size (bytes of the rows as JSON), n."""
+    """key_range_id, size (bytes of the values; texts in UTF-8, nested ones as JSON), n."""
     df = with_shard(engine.tables[relation], engine.meta, relation, key_range=True)
-    row = F.to_json(F.struct(*(c for c in engine.tables[relation].columns)))
-    return df.groupBy(F.col("__key_range").alias("key_range_id")).agg(F.sum(F.octet_length(row)).alias("size"), F.count("*").alias("n"))
+
+    def size(f):
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in _WIDTH:
+            return F.when(c.isNull(), 0).otherwise(_WIDTH[kind])
+        plain = c if kind in ("string", "binary") else F.to_json(F.struct(c)) if kind.startswith(("struct", "array", "map")) else c.cast("string")
+        return F.coalesce(F.octet_length(plain), F.lit(0))
+
+    row = reduce(lambda a, b: a + b, (size(f).cast("long") for f in engine.tables[relation].schema.fields))
+    return df.groupBy(F.col("__key_range").alias("key_range_id")).agg(F.sum(row).alias("size"), F.count("*").alias("n"))
+
+
+def shards_diff(spark, old, new) -> DataFrame:
+    """shard, change (added, deleted, changed): two states of the shards' metadata, as an outer join."""
+
+    def rows(meta):
+        return spark.createDataFrame([(s, json.dumps(o, sort_keys=True)) for s, o in meta.shards.items()], "shard string, options string")
+
+    both = rows(old).withColumnRenamed("options", "a").join(rows(new).withColumnRenamed("options", "b"), "shard", "full_outer").where("not (a <=> b)")
+    return both.select("shard", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").otherwise("changed").alias("change"))
+
+
+def latest_range(engine, relation: str) -> DataFrame:
+    """The table's key columns and key_range_id: the range with the greatest lower bound up to the key."""
+    d, r = engine.meta.of(relation)
+    columns = [c.name for c in r.key]
+    return with_shard(engine.tables[relation].select(*columns), engine.meta, relation, key_range=True).select(*columns, F.col("__key_range").alias("key_range_id"))
 
 
 def load(engine, relation: str, json_column: str, path: str, time_column: str, since, until) -> DataFrame:

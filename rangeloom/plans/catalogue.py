@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import copy
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions import hashing
-from rangeloom.operators import dml, movement, routing, stats
+from rangeloom.operators import dml, movement, stats
+from rangeloom.operators.store import shared_dir
 from rangeloom.plans.engine import Engine
 from rangeloom.plans.model import KeyColumn, Metadata, Relation
 from rangeloom.sources import copy as copying
@@ -25,8 +28,8 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
 
 
-def demo(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the tables: five distributions on four shards and four reference tables."""
+@functools.cache
+def _metadata() -> Metadata:
     meta = Metadata(SHARDS)
     meta.create_distribution("ds_ord", ["integer"])
     meta.create_distribution("ds_cust", ["integer hash"])
@@ -51,7 +54,12 @@ def demo(spark: SparkSession, sf_dir: str) -> Engine:
     meta.attach("ds_doc", Relation("documents", [KeyColumn("source", "murmur")]))
     for name in ("region", "nation", "supplier", "part"):
         meta.create_reference(name)
-    engine = Engine(spark, meta)
+    return meta
+
+
+def demo(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the tables: five distributions on four shards and four reference tables."""
+    engine = Engine(spark, copy.deepcopy(_metadata()))
     for name, df in frames(spark, sf_dir).items():
         engine.register(name, df)
     engine.register("orders_by_cust", engine.tables["orders"])
@@ -186,14 +194,14 @@ def _(e):
     return e.table("part", shard=True).select("p_partkey", F.col("__shard").alias("shard"))
 
 
-@query("route_many_ranges", "SELECT o_orderkey, 'r' || CAST(o_orderkey // 100 AS VARCHAR) AS key_range FROM orders WHERE o_orderkey < 15000")
+@query("route_many_ranges", "SELECT o_orderkey, 'r' || CAST(least(o_orderkey // 100, 149) AS VARCHAR) AS key_range FROM orders")
 def _(e):
     e.meta.create_distribution("many", ["integer"])
     for i in reversed(range(150)):
         e.meta.ranges[f"r{i}"] = type(e.meta.range("ds_ord_1"))(f"r{i}", "many", SHARDS[i % 4], (i * 100,))
     e.meta.detach("ds_ord", "orders")
     e.meta.attach("many", Relation("orders", [KeyColumn("o_orderkey")]))
-    df = e.table("orders", key_range=True).where("o_orderkey < 15000")
+    df = e.table("orders", key_range=True)
     return df.select("o_orderkey", F.col("__key_range").alias("key_range"))
 
 
@@ -270,7 +278,7 @@ def _(e):
 
 # joins
 
-same("join_colocated", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000")
+same("join_colocated", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 same("join_colocated_left", "SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 same("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
 same("join_full", "SELECT count(*) AS n, count(o_orderkey) AS left_rows, count(c_custkey) AS right_rows FROM orders FULL JOIN customer ON o_orderkey = c_custkey")
@@ -298,14 +306,16 @@ same("join_lateral", "SELECT r_name, t.n FROM region, LATERAL (SELECT count(*) A
 same("multi_relation_from", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
 
 
-@query("join_self_shard_local", f"WITH o AS (SELECT o_orderkey, {_ladder('o_orderkey', ORD)} AS s FROM orders WHERE o_orderkey IN (1, 10, 600, 610, 6000)) SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM o a JOIN o b ON a.s = b.s")
+@query("join_self_shard_local", f"WITH o AS (SELECT o_orderkey, o_custkey, {_ladder('o_orderkey', ORD)} AS s FROM orders) SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM o a JOIN o b ON a.s = b.s AND a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey")
 def _(e):
-    df = e.where("orders", "o_orderkey IN (1, 10, 600, 610, 6000)", shard=True).select("o_orderkey", "__shard")
-    return df.alias("a").join(df.alias("b"), "__shard").select(F.col("a.o_orderkey").alias("x"), F.col("b.o_orderkey").alias("y"))
+    df, shard = e.shard_local("orders")
+    a, b = df.alias("a"), df.alias("b")
+    match = (F.col("a.__shard") == F.col("b.__shard")) & (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey"))
+    return a.join(b, match).select(F.col("a.o_orderkey").alias("x"), F.col("b.o_orderkey").alias("y"))
 
 
 same("semi_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
-same("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+same("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 
 
 @query("range_lookup_join", f"SELECT o_orderkey, {_ladder('o_orderkey', ORD, tuple(f'ds_ord_{i}' for i in range(1, 5)))} AS key_range_id FROM orders")
@@ -346,10 +356,10 @@ def _(e):
     return stats.biggest_relation(e, "ds_ord")
 
 
-@query("size_by_key_range", f"SELECT {_ladder('h', HASHED, tuple(f'ds_cust_{i}' for i in range(1, 5)))} AS key_range_id, CAST(sum(length(c_name)) AS BIGINT) AS size, count(*) AS n FROM ({_hash_sql('SELECT c_custkey, c_name FROM customer', 'c_custkey')}) GROUP BY ALL")
+@query("size_by_key_range", f"SELECT {_ladder('o_orderkey', ORD, _KR)} AS key_range_id, CAST(sum(8 + octet_length(encode(o_orderpriority)) + octet_length(encode(o_orderstatus))) AS BIGINT) AS size, count(*) AS n FROM orders GROUP BY ALL")
 def _(e):
-    df = e.table("customer", key_range=True)
-    return df.groupBy(F.col("__key_range").alias("key_range_id")).agg(F.sum(F.octet_length("c_name").cast("long")).alias("size"), F.count("*").alias("n"))
+    e.register("orders", e.tables["orders"].select("o_orderkey", "o_orderpriority", "o_orderstatus"))
+    return stats.sizes(e, "orders")
 
 
 _EVT_KR = _EVT.replace("'sh", "'ds_evt_")
@@ -368,7 +378,7 @@ def _(e):
 
 # order, limits, windows
 
-same("order_by_global", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 700 ORDER BY o_totalprice, o_orderkey")
+same("order_by_global", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")
 same("limit_after_order", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 same("offset_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 5")
 same("order_desc_multi", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey ASC LIMIT 50")
@@ -397,7 +407,7 @@ def _(e):
 
 # set operations
 
-_A, _B = "SELECT o_custkey AS k FROM orders WHERE o_orderkey < 900", "SELECT c_custkey AS k FROM customer WHERE c_custkey < 400"
+_A, _B = "SELECT o_custkey AS k FROM orders", "SELECT c_custkey AS k FROM customer"
 for _n, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL")):
     same(f"set_{_n}", f"{_A} {_op} {_B}")
 
@@ -461,10 +471,10 @@ def _(e):
 # modification
 
 
-@query("insert_batch_split", f"SELECT o_orderkey, o_custkey, {_ladder('o_orderkey', ORD)} AS shard FROM (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT * FROM (VALUES (20000001, 1), (20000002, 2)) t(a, b)) WHERE o_orderkey > 9990")
+@query("insert_batch_split", f"SELECT o_orderkey, o_custkey, {_ladder('o_orderkey', ORD)} AS shard FROM (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT * FROM (VALUES (20000001, 1), (20000002, 2)) t(a, b))")
 def _(e):
     dml.insert(e, "orders", e.spark.createDataFrame([(20000001, 1), (20000002, 2)], "o_orderkey long, o_custkey long"))
-    return e.where("orders", "o_orderkey > 9990", shard=True).select("o_orderkey", "o_custkey", F.col("__shard").alias("shard"))
+    return e.table("orders", shard=True).select("o_orderkey", "o_custkey", F.col("__shard").alias("shard"))
 
 
 @query("insert_select", "SELECT count(*) AS n, max(o_orderkey) AS hi FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey + 30000000 FROM orders WHERE o_orderstatus = 'F')")
@@ -508,9 +518,9 @@ def _(e):
     return e.table("orders", shard=True).select("o_orderkey", F.col("__shard").alias("shard"))
 
 
-@query("update_returning", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 10")
+@query("update_returning", "SELECT o_orderkey, 'P' AS o_orderstatus, o_totalprice * 2 AS doubled FROM orders WHERE o_orderstatus = 'F'")
 def _(e):
-    return dml.affected(e, "orders", F.col("o_orderkey") < 10).select("o_orderkey", "o_orderstatus")
+    return e.sql("UPDATE orders SET o_orderstatus = 'P' WHERE o_orderstatus = 'F' RETURNING o_orderkey, o_orderstatus, o_totalprice * 2 AS doubled")
 
 
 @query("unique_index_build", f"SELECT o_custkey, o_orderkey, {_ladder('h', HASHED)} AS shard FROM ({_hash_sql('SELECT o_custkey, o_orderkey FROM orders', 'o_custkey')})")
@@ -524,19 +534,196 @@ def _(e):
     return dml.violations(e.tables["orders"], ["o_custkey"])
 
 
-@query("copy_csv_routed", f"SELECT o_orderkey, o_orderpriority, {_ladder('o_orderkey', ORD)} AS shard FROM orders WHERE o_orderkey < 6000")
+@query("copy_csv_routed", f"SELECT o_orderkey, o_orderpriority, {_ladder('o_orderkey', ORD)} AS shard FROM orders")
 def _(e):
-    lines = copying.lines_of(e.where("orders", "o_orderkey < 6000").select("o_orderkey", "o_orderpriority"), delimiter="|")
+    lines = copying.lines_of(e.tables["orders"].select("o_orderkey", "o_orderpriority"), delimiter="|")
     rows = copying.copy_from(e, "orders", lines, ["o_orderkey", "o_orderpriority"], delimiter="|")
     return rows.select("o_orderkey", "o_orderpriority", F.col("__shard").alias("shard"))
 
 
-@query("copy_pinned", "SELECT o_orderkey, 'sh3' AS shard FROM orders WHERE o_orderkey < 50")
+@query("copy_pinned", "SELECT o_orderkey, 'sh3' AS shard FROM orders")
 def _(e):
-    lines = copying.lines_of(e.where("orders", "o_orderkey < 50").select("o_orderkey"), "csv")
+    lines = copying.lines_of(e.tables["orders"].select("o_orderkey"), "csv")
     return copying.copy_from(e, "orders", lines, ["o_orderkey"], "csv", execute_on="sh3").select("o_orderkey", F.col("__shard").alias("shard"))
 
 
+@query("copy_hashed_key", f"SELECT c_custkey, c_name, {_ladder('h', HASHED)} AS shard FROM ({_hash_sql('SELECT c_custkey, c_name FROM customer', 'c_custkey')})")
+def _(e):
+    lines = copying.lines_of(e.tables["customer"].select("c_custkey", "c_name"), "csv")
+    return copying.copy_from(e, "customer", lines, ["c_custkey", "c_name"], "csv").select("c_custkey", "c_name", F.col("__shard").alias("shard"))
+
+
+@query("copy_reference", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(e):
+    return copying.copy_from(e, "nation", copying.lines_of(e.tables["nation"]))
+
+
+@query("copy_to_lines", "SELECT CAST(n_nationkey AS VARCHAR) || '|' || n_name AS value FROM nation")
+def _(e):
+    path = f"{shared_dir(e.spark)}/lines-{uuid.uuid4().hex}"
+    copying.copy_to(e.tables["nation"].select("n_nationkey", "n_name"), path, delimiter="|")
+    return e.spark.read.text(path)
+
+
+@query("copy_without_key", "SELECT 'MetadataError' AS error")
+def _(e):
+    return _refused(e, lambda: copying.copy_from(e, "orders", e.spark.createDataFrame([("1",)], "value string"), ["o_custkey"]))
+
+
+@query("metadata_dump", "SELECT 'ds_ord_1' AS id, 'sh1' AS shard UNION ALL SELECT 'ds_ord_2', 'sh2' UNION ALL SELECT 'ds_ord_3', 'sh3' UNION ALL SELECT 'ds_ord_4', 'sh4'")
+def _(e):
+    again = Metadata.load(copying.metadata_json(e))
+    return e.spark.createDataFrame([(r.id, r.shard) for r in again.sorted_ranges("ds_ord")], "id string, shard string")
+
+
+@query("workload_replay", "SELECT n_nationkey FROM nation UNION ALL SELECT 99")
+def _(e):
+    e.replay(e.spark.createDataFrame([(1, "INSERT INTO nation VALUES (99, 'X', 1)"), (0, "SELECT 1")], "n long, statement string"))
+    return e.sql("SELECT n_nationkey FROM nation")
+
+
+# planning of whole statements
+
+_PLAN = "SELECT * FROM (VALUES {}) t(plan, shard_id)"
+
+
+def _explained(name: str, statement: str, rows: str) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: demo(spark, sf_dir).sql(f"EXPLAIN {statement}")
+    _ORACLES[name] = _PLAN.format(rows)
+
+
+_ALL = "('Scatter', 'sh1'), ('Scatter', 'sh2'), ('Scatter', 'sh3'), ('Scatter', 'sh4')"
+_explained("explain_sql", "SELECT count(*) FROM orders WHERE o_orderkey >= 600 AND o_orderkey < 9000", "('Scatter', 'sh2'), ('Scatter', 'sh3')")
+_explained("explain_point", "SELECT o_custkey FROM orders WHERE o_orderkey = 777", "('OneShard', 'sh2')")
+_explained("explain_all", "SELECT count(*) FROM orders", _ALL)
+_explained("explain_hashed", "SELECT c_name FROM customer WHERE c_custkey = 42", f"('OneShard', '{SHARDS[hashing.hash_value(42, 'integer', 'murmur') // QUARTER]}')")
+_explained("explain_join_either_key", "SELECT count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_orderkey = 7000", "('OneShard', 'sh3')")
+_explained("explain_join_reference", "SELECT count(*) FROM orders JOIN part ON o_orderkey = p_partkey WHERE o_orderkey < 100", "('OneShard', 'sh1')")
+_explained("explain_reference", "SELECT n_name FROM nation", "('AnyShard', 'sh1')")
+_explained("explain_virtual", "SELECT 1 AS a", "('Virtual', NULL)")
+_explained("dispatch_union", "SELECT o_custkey FROM orders WHERE o_orderkey = 1 UNION ALL SELECT o_custkey FROM orders WHERE o_orderkey = 20000", "('Scatter', 'sh1'), ('Scatter', 'sh4')")
+_explained("dispatch_values_cte", "WITH v(id) AS (VALUES (10), (25), (700)) SELECT v.id, o_custkey FROM v JOIN orders ON o_orderkey = v.id", "('Scatter', 'sh1'), ('Scatter', 'sh2')")
+_explained("dispatch_subquery", "SELECT (SELECT max(o_custkey) FROM orders WHERE o_orderkey = 5) AS a, (SELECT max(l_partkey) FROM lineitem WHERE l_orderkey = 6000) AS b", "('Scatter', 'sh1'), ('Scatter', 'sh3')")
+_explained("dispatch_in_subquery", "SELECT o_custkey FROM orders WHERE o_orderkey = 700 AND o_custkey IN (SELECT c_custkey FROM customer)", _ALL)
+_explained("dispatch_cte", "WITH w AS (SELECT o_orderkey FROM orders WHERE o_orderkey = 700) SELECT * FROM w", "('OneShard', 'sh2')")
+
+
+def _refused(e, action) -> DataFrame:
+    """The type of the error that a statement stops with."""
+    try:
+        out = action()
+        if out is not None:
+            out.collect()
+    except Exception as error:  # noqa: BLE001
+        return e.spark.createDataFrame([(type(error).__name__,)], "error string")
+    return e.spark.createDataFrame([("none",)], "error string")
+
+
+@query("hint_pin", "SELECT count(*) AS n FROM orders WHERE o_orderkey >= 500 AND o_orderkey < 5000")
+def _(e):
+    return e.sql("/* default_route_behaviour: sh2 */ SELECT count(*) AS n FROM orders")
+
+
+@query("block_join", "SELECT 'DispatchError' AS error")
+def _(e):
+    return _refused(e, lambda: e.sql("/* default_route_behaviour: BLOCK */ SELECT count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey"))
+
+
+@query("block_union", "SELECT 'DispatchError' AS error")
+def _(e):
+    return _refused(e, lambda: e.sql("/* default_route_behaviour: BLOCK */ SELECT o_orderkey FROM orders WHERE o_orderkey = 1 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey = 20000"))
+
+
+@query("block_one_shard", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey = 7")
+def _(e):
+    return e.sql("/* default_route_behaviour: BLOCK */ SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey = 7")
+
+
+@query("postprocessing_off", f"SELECT count(o_totalprice) AS n, max(o_totalprice) AS top FROM (VALUES ('sh1'), ('sh2'), ('sh3'), ('sh4')) s(shard) LEFT JOIN (SELECT o_totalprice, {_ladder('o_orderkey', ORD)} AS shard FROM orders) o USING (shard) GROUP BY shard")
+def _(e):
+    return e.sql("/* allow_postprocessing: off */ SELECT count(*) AS n, max(o_totalprice) AS top FROM orders")
+
+
+@query("postprocessing_off_limit", f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY {_ladder('o_orderkey', ORD)} ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
+def _(e):
+    return e.sql("/* allow_postprocessing: off */ SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")
+
+
+def _laid_out(e, name: str):
+    e.lay_out(name, f"{shared_dir(e.spark)}/layout-{uuid.uuid4().hex}")
+    return e
+
+
+@query("layout_point", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 777")
+def _(e):
+    return _laid_out(e, "orders").sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 777")
+
+
+@query("layout_hashed", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (42, 43)")
+def _(e):
+    return _laid_out(e, "customer").where("customer", "c_custkey IN (42, 43)").select("c_custkey", "c_name")
+
+
+@query("layout_whole", "SELECT count(*) AS n, sum(o_custkey) AS s FROM orders")
+def _(e):
+    return _laid_out(e, "orders").sql("SELECT count(*) AS n, sum(o_custkey) AS s FROM orders")
+
+
+@query("any_array_subselect", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def _(e):
+    return e.sql("SELECT c_custkey FROM customer WHERE c_custkey = ANY(ARRAY(SELECT o_custkey FROM orders WHERE o_totalprice > 300000))")
+
+
+same("join_natural", "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) NATURAL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+same("agg_mixed_targets", "SELECT l_returnflag, max(l_quantity) AS hi, 1 AS one, upper(l_returnflag) AS flag FROM lineitem GROUP BY l_returnflag")
+
+
+@query("portal_max_rows", "SELECT * FROM (VALUES (10), (10), (5)) t(n)")
+def _(e):
+    return e.spark.createDataFrame([(len(part),) for part in e.portal("SELECT n_nationkey FROM nation", 10)], "n int")
+
+
+@query("shard_metadata_diff", "SELECT * FROM (VALUES ('sh2', 'changed'), ('sh4', 'deleted'), ('sh9', 'added')) t(shard, change)")
+def _(e):
+    old = copy.deepcopy(e.meta)
+    e.console("ALTER SHARD sh2 OPTIONS (SET az b); CREATE SHARD sh9")
+    del e.meta.shards["sh4"]
+    return stats.shards_diff(e.spark, old, e.meta)
+
+
+@query("running_latest_range", f"SELECT o_orderkey, {_ladder('o_orderkey', ORD, tuple(f'ds_ord_{i}' for i in range(1, 5)))} AS key_range_id FROM orders")
+def _(e):
+    return stats.latest_range(e, "orders")
+
+
+@query("catalog_mixed", "SELECT 'MetadataError' AS error")
+def _(e):
+    return _refused(e, lambda: e.sql("SELECT * FROM information_schema.tables, orders"))
+
+
+@query("catalog_information_schema", "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('region', 'r_name')) t(table_name, column_name)")
+def _(e):
+    return e.sql("SELECT table_name, column_name FROM information_schema.columns WHERE table_name = 'region'")
+
+
+@query("functions_session", "SELECT FALSE AS recovery, 'off' AS read_only, 'x' AS made, TRUE AS named")
+def _(e):
+    return e.sql("SELECT pg_is_in_recovery() AS recovery, current_setting('transaction_read_only') AS read_only, set_config('my.name', 'x', false) AS made, current_user() IS NOT NULL AS named")
+
+
+def _engine_function(name: str, text: str, oracle: str) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: demo(spark, sf_dir).sql(text)
+    _ORACLES[name] = oracle
+
+
+_engine_function("function_show", "SELECT * FROM __engine__show('shards')", "SELECT * FROM (VALUES ('sh1'), ('sh2'), ('sh3'), ('sh4')) t(shard)")
+_engine_function("function_shards", "SELECT __engine__shards()", "SELECT * FROM (VALUES ('sh1'), ('sh2'), ('sh3'), ('sh4')) t(shard)")
+_engine_function("function_is_ready", "SELECT __engine__is_ready()", "SELECT TRUE AS is_ready")
+_engine_function("function_host_status", "SELECT __engine__host_status('sh1')", "SELECT 'sh1' AS host, 'true' AS rw")
+_engine_function("function_await_task", "SELECT __engine__await_task('none')", "SELECT 'COMPLETE' AS state")
+_engine_function("function_console_execute", "SELECT __engine__console_execute('SHOW shards (shard) WHERE shard = sh2')", "SELECT 'sh2' AS shard")
+_engine_function("function_route_key", "SELECT __engine__route_key('ds_ord', 7000)", "SELECT 'sh3' AS shard_id")
+
 # movement
 
 
@@ -567,6 +754,149 @@ def _(e):
     return e.spark.createDataFrame([(step.key_range, step.source, step.shard, step.keys, step.join)], "key_range string, source string, shard string, keys int, join string")
 
 
+@query("redistribute_later", "SELECT 'tg' AS task_group_id, 'PLANNED' AS before, 'COMPLETE' AS after, 'sh3' AS shard_id")
+def _(e):
+    e.console("REDISTRIBUTE KEY RANGE ds_ord_1 TO sh3 BATCH SIZE 200 TASK GROUP tg NOWAIT")
+    before = e.meta.tasks["tg"].state
+    e.console("RETRY TASK GROUP tg")
+    return e.spark.createDataFrame([("tg", before, e.meta.tasks["tg"].state, e.meta.range("ds_ord_1").shard)], "task_group_id string, before string, after string, shard_id string")
+
+
+@query("redistribute_stopped", "SELECT 'STOPPED' AS state, 1 AS done, 'sh1' AS shard_id")
+def _(e):
+    task = movement.redistribute(e, "ds_ord_1", "sh3", 200, "tg", later=True)
+    movement.resume(e, task, most=1)
+    e.console("STOP TASK GROUP tg")
+    return e.spark.createDataFrame([(task.state, sum(m["state"] == "COMPLETE" for m in task.moves), e.meta.range("ds_ord_1").shard)], "state string, done int, shard_id string")
+
+
+@query("redistribute_checks", "SELECT 'MetadataError' AS batch, 'COMPLETE' AS same_shard, 'CHECKED' AS dry_run")
+def _(e):
+    batch = _refused(e, lambda: movement.redistribute(e, "ds_ord_1", "sh3", 0)).first()[0]
+    return e.spark.createDataFrame([(batch, movement.redistribute(e, "ds_ord_1", "sh1").state, movement.redistribute(e, "ds_ord_1", "sh3", check=True).state)], "batch string, same_shard string, dry_run string")
+
+
+# modification that keeps its rules
+
+
+def _after(name: str, statements: list[str], oracle: str) -> None:
+    """The result of the last of some statements on one engine."""
+
+    def run(spark, sf_dir):
+        e = demo(spark, sf_dir)
+        for text in statements[:-1]:
+            e.sql(text)
+        return e.sql(statements[-1])
+
+    _QUERIES[name], _ORACLES[name] = run, oracle
+
+
+def _stops(name: str, before: list[str], statement: str, error: str = "MetadataError") -> None:
+    def run(spark, sf_dir):
+        e = demo(spark, sf_dir)
+        for text in before:
+            e.console(text[8:]) if text.startswith("console ") else e.sql(text)
+        return _refused(e, lambda: e.sql(statement))
+
+    _QUERIES[name], _ORACLES[name] = run, f"SELECT '{error}' AS error"
+
+
+_after("update_count", ["UPDATE orders SET o_orderpriority = 'x' WHERE o_orderstatus = 'F'"], "SELECT 'UPDATE ' || count(*) AS result FROM orders WHERE o_orderstatus = 'F'")
+_after("delete_count", ["DELETE FROM orders WHERE o_orderstatus = 'F'"], "SELECT 'DELETE ' || count(*) AS result FROM orders WHERE o_orderstatus = 'F'")
+_after("insert_count", ["INSERT INTO orders (o_orderkey, o_custkey) SELECT o_orderkey + 50000000, o_custkey FROM orders"], "SELECT 'INSERT 0 ' || count(*) AS result FROM orders")
+_after("delete_returning", ["DELETE FROM nation WHERE n_regionkey = 1 RETURNING n_nationkey, n_name"], "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+_after("update_everything", ["UPDATE customer SET c_mktsegment = 'ALL'", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"], "SELECT 'ALL' AS c_mktsegment, count(*) AS n FROM customer")
+_after("update_reference", ["UPDATE nation SET n_name = lower(n_name) WHERE n_regionkey = 0", "SELECT n_nationkey, n_name FROM nation"], "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation")
+_after("insert_column_order", ["INSERT INTO region (r_name, r_regionkey) VALUES ('Z', 77)", "SELECT r_regionkey, r_name FROM region"], "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 77, 'Z'")
+_after("upsert_nothing", ["INSERT INTO customer (c_custkey, c_name) VALUES (1, 'x'), (70000001, 'a'), (70000001, 'a') ON CONFLICT (c_custkey) DO NOTHING", "SELECT c_custkey, c_name FROM customer"], "SELECT c_custkey, c_name FROM customer UNION ALL SELECT 70000001, 'a'")
+_after("upsert_excluded", ["INSERT INTO customer (c_custkey, c_name) SELECT c_custkey, 'new' FROM customer WHERE c_custkey < 100 ON CONFLICT (c_custkey) DO UPDATE SET c_name = excluded.c_name", "SELECT c_custkey, c_name FROM customer"], "SELECT c_custkey, CASE WHEN c_custkey < 100 THEN 'new' ELSE c_name END AS c_name FROM customer")
+_after("prepared_parameters", ["PREPARE p (int) AS SELECT 'cost $1' AS a, $1 AS b, o_orderkey FROM orders WHERE o_orderkey < $1", "EXECUTE p(50)"], "SELECT 'cost $1' AS a, 50 AS b, o_orderkey FROM orders WHERE o_orderkey < 50")
+_after("prepared_modification", ["PREPARE p AS UPDATE nation SET n_name = $1 WHERE n_regionkey = $2", "EXECUTE p('a, $2', 3)", "SELECT n_nationkey, n_name FROM nation"], "SELECT n_nationkey, CASE WHEN n_regionkey = 3 THEN 'a, $2' ELSE n_name END AS n_name FROM nation")
+_after("create_table_attached", ["SET auto_distribution = ds_ord", "SET distribution_key = k", "CREATE TABLE fresh (k BIGINT PRIMARY KEY, v VARCHAR(10))", "INSERT INTO fresh VALUES (7, 'a'), (700, 'b')", "SELECT * FROM __engine__ctid('fresh')"], "SELECT * FROM (VALUES ('shard sh1', 7, 'a'), ('shard sh2', 700, 'b')) t(shard, k, v)")
+_after("truncate_table", ["TRUNCATE orders", "SELECT count(*) AS n FROM orders"], "SELECT 0 AS n")
+_stops("update_key_without_range", [], "UPDATE orders SET o_orderkey = -5 WHERE o_orderkey = 1")
+_stops("update_unique_index", ["console CREATE UNIQUE INDEX i ON customer COLUMNS (c_custkey INTEGER)"], "UPDATE customer SET c_custkey = 1")
+_stops("insert_unique_index", ["console CREATE UNIQUE INDEX i ON customer COLUMNS (c_name VARCHAR HASH)"], "INSERT INTO customer SELECT * FROM customer")
+_stops("upsert_repeated_key", [], "INSERT INTO customer (c_custkey, c_name) VALUES (70000001, 'a'), (70000001, 'b') ON CONFLICT (c_custkey) DO UPDATE SET c_name = excluded.c_name")
+_stops("split_update_refused", ["SET allow_split_update = off"], "UPDATE orders SET o_orderkey = o_orderkey + 1")
+_stops("create_table_without_key", ["console CREATE RELATION bare (k) FOR DISTRIBUTION ds_ord"], "CREATE TABLE bare (v INT)")
+_stops("drop_unknown_table", [], "DROP TABLE nowhere")
+_stops("hash_in_expression", [], "EXECUTE nothing(1)")
+
+
+# the console's relations and statements, one query each
+
+
+def _shown(name: str, script: str, rows: str, columns: str) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: demo(spark, sf_dir).console(script)
+    _ORACLES[name] = f"SELECT * FROM (VALUES {rows}) t({columns})"
+
+
+def _console_stops(name: str, script: str, error: str) -> None:
+    def run(spark, sf_dir):
+        e = demo(spark, sf_dir)
+        return _refused(e, lambda: e.console(script))
+
+    _QUERIES[name], _ORACLES[name] = run, f"SELECT '{error}' AS error"
+
+
+_shown("show_shards_extended", "CREATE SHARD sh5 OPTIONS (dbname x); ALTER SHARD sh5 OPTIONS (SET a 1, ADD b 2, DROP dbname); SHOW shards_extended WHERE shard = sh5", "('sh5', 'a=1,b=2')", "shard, options")
+_shown("show_unique_indexes", "CREATE UNIQUE INDEX ui ON customer COLUMNS (c_name VARCHAR HASH); SHOW unique_indexes", "('ui', 'customer', 'c_name', 'varchar hashed')", "id, relation_name, columns, column_types")
+_shown("show_sequences", "CREATE REFERENCE TABLE z AUTO INCREMENT id START 19; SHOW sequences", "('z_id', '19')", "name, value")
+_shown("show_task_groups", "REDISTRIBUTE KEY RANGE ds_ord_1 TO sh3 BATCH SIZE 100 TASK GROUP tg NOWAIT; SHOW task_groups (task_group_id, destination_shard_id, source_key_range_id, batch_size, state)", "('tg', 'sh3', 'ds_ord_1', '100', 'PLANNED')", "task_group_id, destination_shard_id, source_key_range_id, batch_size, state")
+_shown("show_move_tasks", "REDISTRIBUTE KEY RANGE ds_ord_4 TO sh1 BATCH SIZE 1000000 TASK GROUP tg; SHOW move_tasks (task_group_id, move_task_id, bound, state)", "('tg', 'mt0', '10000', 'COMPLETE')", "task_group_id, move_task_id, bound, state")
+_shown("show_task_groups_ext", "REDISTRIBUTE KEY RANGE ds_ord_4 TO sh1 BATCH SIZE 1000000 TASK GROUP tg; SHOW task_groups_ext", "('tg', '10000', 'USED')", "task_group_id, bound, status")
+_shown("show_redistribute_tasks", "REDISTRIBUTE KEY RANGE ds_ord_1 TO sh3 TASK GROUP tg NOWAIT; SHOW redistribute_tasks", "('tg', 'tg', 'ds_ord_1', 'sh3', '500')", "redistribute_task_id, task_group_id, key_range_id, destination_shard_id, batch_size")
+_shown("show_time_quantiles", "SHOW time_quantiles", ", ".join(f"('{k}_time_{q}', '0.00')" for q in ("0.75", "0.90", "0.999", "0.9999") for k in ("router", "shard")), "quantile_type, time_ms")
+_shown("show_mean_lock_time", "SHOW mean_key_range_lock_time", "('0s')", "mean_key_range_lock_time")
+_shown("show_move_stats", "MOVE KEY RANGE ds_ord_1 TO sh2; SHOW move_stats (statistic)", "('data_move'), ('metadata_update')", "statistic")
+_shown("show_version", "SHOW version", "('1.0')", "version")
+_shown("show_is_read_only", "SHOW is_read_only", "('false')", "is_read_only")
+_shown("show_startup_finished", "SHOW startup_finished", "('true')", "startup_finished")
+_shown("show_file_settings", "SHOW file_settings WHERE name = default_route_behaviour", "('default_route_behaviour', 'ALLOW', 'true')", "name, setting, applied")
+_shown("show_users", "SHOW users (dbname, connection_limit)", "('default', '-1')", "dbname, connection_limit")
+_shown("show_arithmetic", "SHOW key_ranges (key_range_id) WHERE distribution_id = ds_ord AND lower_bound + 1 > 500 * 2", "('ds_ord_3'), ('ds_ord_4')", "key_range_id")
+_shown("show_integer_as_text", "SHOW key_ranges (key_range_id) WHERE lower_bound = 500", "('ds_ord_2')", "key_range_id")
+_shown("show_default_order", "SHOW relations (relation_name)", "('customer'), ('documents'), ('events'), ('lineitem'), ('lineitem_ps'), ('orders'), ('orders_by_cust')", "relation_name")
+_shown("console_help", "HELP LOCK", "('LOCK KEY RANGE name | ALL.')", "help")
+_shown("console_create_shard", "CREATE SHARD sh5; SHOW shards WHERE shard = sh5", "('sh5')", "shard")
+_shown("console_create_ranges", "CREATE DISTRIBUTION d (integer); CREATE KEY RANGES FOR DISTRIBUTION d BETWEEN 0 AND 99 USING SHARDS sh1, sh2, sh3; SHOW key_ranges (key_range_id, shard_id, lower_bound) WHERE distribution_id = d", "('d-2', 'sh3', '0'), ('d-1', 'sh2', '33'), ('d-0', 'sh1', '66')", "key_range_id, shard_id, lower_bound")
+_shown("console_create_relation", "CREATE DISTRIBUTED RELATION r (a HASH MURMUR) FOR DISTRIBUTION ds_cust; SHOW relations WHERE relation_name = r", "('r', 'ds_cust', '(\"a\", murmur)', 'public')", "relation_name, distribution_id, distribution_key, schema_name")
+_shown("console_create_reference", "CREATE REFERENCE TABLE z AUTO INCREMENT id START 5 ON SHARDS sh1, sh2; SHOW reference_relations WHERE table_name = z", "('z', 'public', '1', 'sh1,sh2', 'id->z_id')", "table_name, schema_name, schema_version, shards, column_sequence_mapping")
+_shown("console_alter_attach", "ALTER DISTRIBUTION ds_cust DETACH RELATION customer; ALTER DISTRIBUTION ds_cust ATTACH RELATION fresh DISTRIBUTION KEY k HASH FUNCTION MURMUR; SHOW relations (relation_name) WHERE distribution_id = ds_cust", "('fresh'), ('orders_by_cust')", "relation_name")
+_shown("console_default_shard", "ALTER DISTRIBUTION ds_cust DROP DEFAULT SHARD".replace("ds_cust DROP", "ds_ord ADD").replace("DEFAULT SHARD", "DEFAULT SHARD sh2") + "; SHOW distributions (distribution_id, default_shard) WHERE distribution_id = ds_ord", "('ds_ord', 'sh2')", "distribution_id, default_shard")
+_shown("console_alter_relation", "ALTER RELATION orders SCHEMA sales; ALTER RELATION orders RENAME DISTRIBUTION COLUMN o_orderkey TO k; SHOW relations (distribution_key, schema_name) WHERE relation_name = orders", "('(\"k\", identity)', 'sales')", "distribution_key, schema_name")
+_shown("console_alter_reference", "ALTER REFERENCE TABLE nation STORAGE TO (sh3); SYNC REFERENCE TABLE nation ON sh1; SHOW reference_relations (schema_version, shards) WHERE table_name = nation", "('2', 'sh3,sh1')", "schema_version, shards")
+_shown("console_drop", "DROP KEY RANGE ds_ord_1; DROP DISTRIBUTION ds_expr CASCADE; DROP REFERENCE TABLE part; SHOW key_ranges (key_range_id) WHERE distribution_id = ds_ord OR distribution_id = ds_expr", "('ds_ord_2'), ('ds_ord_3'), ('ds_ord_4')", "key_range_id")
+_shown("console_lock", "LOCK KEY RANGE ds_ord_1; SHOW key_ranges (key_range_id, locked) WHERE locked = true", "('ds_ord_1', 'true')", "key_range_id, locked")
+_shown("console_unlock", "LOCK KEY RANGE ALL; UNLOCK KEY RANGE ALL; SHOW key_ranges GROUP BY locked", "('false', '18')", "locked, count")
+_shown("console_sync_all", "CREATE SHARD sh5; SYNC REFERENCE TABLES ON sh5; SHOW reference_relations (table_name, shards) WHERE table_name = region", "('region', 'sh1,sh2,sh3,sh4,sh5')", "table_name, shards")
+_console_stops("console_add_refused", "ADD KEY RANGE x FROM 1 ROUTE TO sh1", "SyntaxProblem")
+_console_stops("console_locked_refused", "LOCK KEY RANGE ds_ord_1; MOVE KEY RANGE ds_ord_1 TO sh2", "MetadataError")
+_console_stops("console_key_count", "CREATE RELATION r (a, b) FOR DISTRIBUTION ds_ord", "MetadataError")
+_console_stops("console_intersects", "CREATE KEY RANGE x FROM 600 ROUTE TO sh4 FOR DISTRIBUTION ds_ord", "MetadataError")
+_console_stops("hint_ambiguous_hash", "ALTER DISTRIBUTION ds_cust ATTACH RELATION other DISTRIBUTION KEY k", "MetadataError")
+
+
+@query("show_errors", "SELECT 'DispatchError' AS error_type, '2' AS count")
+def _(e):
+    for _ in range(2):
+        _refused(e, lambda: e.sql("/* default_route_behaviour: BLOCK */ SELECT count(*) AS n FROM orders"))
+    return e.console("SHOW errors")
+
+
+@query("show_prepared_statements", "SELECT 'p' AS name, 'SELECT 1' AS query")
+def _(e):
+    e.sql("PREPARE p AS SELECT 1")
+    return e.console("SHOW prepared_statements (name, query)")
+
+
+@query("settings_spellings", "SELECT 'off' AS setting")
+def _(e):
+    e.sql("SET SESSION __engine__.engine_v2 TO off")
+    return e.console("SHOW file_settings (setting) WHERE name = engine_v2")
+
+
 # target lists and common table expressions
 
 same("scalar_subqueries_target_list", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey < 100) AS a, coalesce((SELECT max(o_orderkey) FROM orders WHERE o_orderkey < 0), -1) AS b, (SELECT min(c_custkey) FROM customer) AS c")
