@@ -105,6 +105,78 @@ def test_sql_hints_and_blocking(engine):
     assert engine.sql("SELECT t.id FROM t WHERE t.id >= 390 ORDER BY id").count() == 3
 
 
+def test_whole_statements(engine):
+    """Every relation counts for the plan, wherever it stands."""
+    plan = lambda text: sorted((r.plan, r.shard_id) for r in engine.sql(f"EXPLAIN {text}").collect())
+    assert plan("SELECT * FROM t WHERE id = 110") == [("OneShard", "sh2")]
+    assert plan("SELECT a.id FROM t a JOIN t b ON a.id = b.id WHERE a.id = 250") == [("OneShard", "sh3")]
+    assert plan("SELECT id FROM t WHERE id = 10 UNION SELECT id FROM t WHERE id = 110") == [("Scatter", "sh1"), ("Scatter", "sh2")]
+    assert plan("SELECT * FROM t, ref WHERE t.id = ref.i AND t.id = 1") == [("OneShard", "sh1")]
+    assert plan("WITH v(k) AS (VALUES (5), (310)) SELECT * FROM v JOIN t ON t.id = v.k") == [("Scatter", "sh1"), ("Scatter", "sh4")]
+    assert len(plan("WITH v(k) AS (VALUES (5)) SELECT * FROM v RIGHT JOIN t ON t.id = v.k")) == 4
+    assert plan("SELECT 't' AS name") == [("Virtual", None)]
+    for text in ("SELECT a.id FROM t a JOIN t b ON a.id = b.id", "SELECT id FROM t WHERE id = 10 UNION SELECT id FROM t WHERE id = 110", "SELECT (SELECT max(id) FROM t) AS m"):
+        with pytest.raises(ValueError, match="more than one shard"):
+            engine.sql(f"/* default_route_behaviour: BLOCK */ {text}")
+    assert engine.sql("/* default_route_behaviour: sh2 */ SELECT min(id) AS a, 'from t' AS b, count(*) AS n FROM t x WHERE x.id > 3").first()[:] == (100, "from t", 11)
+    assert sorted(r.n for r in engine.sql("/* allow_postprocessing: off */ SELECT count(*) AS n FROM t").collect()) == sorted(engine.table("t", shard=True).where("__shard is not null").groupBy("__shard").count().toPandas()["count"])
+    assert engine.sql("SELECT count(*) AS n FROM t").first().n == engine.tables["t"].count()  # a pinned statement leaves no trace
+
+
+def test_layout_reads_less(spark, engine, tmp_path):
+    """A condition on a key, identity or hashed, opens only the folders that it can touch; moves don't disturb that."""
+    engine.meta.create_distribution("h", ["integer hash"])
+    for i in reversed(range(4)):
+        engine.meta.create_range(f"h{i}", (i << 30,), f"sh{i + 1}", "h")
+    engine.meta.attach("h", Relation("u", [KeyColumn("id", "murmur")]))
+    engine.register("u", spark.range(1000).toDF("id"))
+    engine.lay_out("u", str(tmp_path / "u"))
+    engine.register("t", engine.tables["t"])
+    engine.lay_out("t", str(tmp_path / "t"))
+    movement.move(engine, "k1", "sh4")
+    for df, wanted in ((engine.where("u", "id = 77"), [77]), (engine.sql("SELECT id FROM u WHERE id = 77"), [77]), (engine.where("t", "id = 150").select("id"), [150]), (engine.sql("SELECT a.id FROM t a JOIN t b ON a.id = b.id WHERE b.id = 150"), [150])):
+        assert [r.id for r in df.collect()] == wanted
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [(__key_range" in plan or "PartitionFilters: [__key_range" in plan or "PartitionFilters: [((__key_range" in plan, plan
+        scans = [n for n in plan.split("\n") if "FileScan" in n]
+        files = {len(x) for x in [df.inputFiles()]}
+        assert scans and max(files) >= 1
+    assert engine.sql("SELECT count(*) AS n FROM t").first().n == 47
+    assert engine.where("t", "id < 0").count() == 2  # rows without a range are read, too
+
+
+def test_rules_of_modification(spark, engine):
+    engine.sql("DELETE FROM t WHERE id < 0 OR id IS NULL")
+    before = engine.tables["t"].count()
+    assert engine.sql("UPDATE t SET j = 1 WHERE id < 100").first().result == f"UPDATE {engine.where('t', 'id < 100').count()}"
+    with pytest.raises(MetadataError, match="no key range"):
+        engine.sql("UPDATE t SET id = -5 WHERE id = 10")
+    engine.meta.create_unique_index("i", "t", ["s"], ["varchar hashed"])
+    with pytest.raises(MetadataError, match="violated"):
+        engine.sql("UPDATE t SET s = 'same'")
+    with pytest.raises(MetadataError, match="violated"):
+        engine.sql("UPDATE t SET s = 'v99' WHERE id = 10")
+    engine.sql("UPDATE t SET s = s WHERE id = 10")
+    assert engine.sql("INSERT INTO t (id, s) VALUES (700, 'n'), (700, 'n'), (110, 'z') ON CONFLICT (id) DO NOTHING RETURNING id").collect() == [(700,)]
+    with pytest.raises(MetadataError, match="twice"):
+        engine.sql("INSERT INTO t (id, j) VALUES (701, 1), (701, 2) ON CONFLICT (id) DO UPDATE SET j = excluded.j")
+    assert engine.tables["t"].count() == before + 1
+    engine.sql("PREPARE p AS SELECT 'x $1' AS a, $1 AS b")
+    assert engine.sql("EXECUTE p(5)").first()[:] == ("x $1", 5)
+    with pytest.raises(MetadataError, match="parameters"):
+        engine.sql("EXECUTE p(5, 6)")
+
+
+def test_statistics(engine):
+    with pytest.raises(ValueError):
+        engine.sql("/* default_route_behaviour: BLOCK */ SELECT * FROM t")
+    assert [tuple(r) for r in engine.console("SHOW errors").collect()] == [("DispatchError", "1")]
+    engine.console("LOCK KEY RANGE k0; UNLOCK KEY RANGE k0")
+    assert engine.console("SHOW mean_key_range_lock_time").first()[0] != "0s"
+    assert engine.console("SHOW time_quantiles WHERE quantile_type = 'router_time_0.9999'").first().time_ms != "0.00"
+    assert [len(p) for p in engine.portal("SELECT * FROM c", 3)] == [3, 3, 2]
+
+
 def test_console(engine):
     with pytest.raises(SyntaxProblem):
         engine.console("ADD KEY RANGE x FROM 1 ROUTE TO sh1")
@@ -182,6 +254,12 @@ def test_redistribution_resumes(spark, engine):
     assert [len(made.moves), movement.redistribute(engine, "k1", "sh4", 30).state] == [4, "COMPLETE"]
     with pytest.raises(MetadataError):
         movement.redistribute(engine, "k1", "sh1", 0)
+    later = movement.redistribute(engine, "k1", "sh1", 30, later=True)
+    movement.resume(engine, later, most=2)
+    engine.console("STOP TASK GROUP ALL")
+    assert later.state == "STOPPED" and engine.table("t", shard=True).where("__shard = 'sh1'").count() == 60
+    engine.console("RETRY TASK GROUP ALL")
+    assert later.state == "COMPLETE" and engine.table("t", shard=True).where("__shard = 'sh1'").count() == 100
 
 
 def test_balance():
