@@ -1,7 +1,7 @@
 """Fuzzy passages shared by documents, by collinear chaining of k-mer seeds.
 
-Seeds are runs of ``K`` words, winnowed (the least hash of every ``SPAN`` neighbouring runs), so that each shared run of
-``K + SPAN - 1`` words shares a seed. Within a task's batch the occurrences of a seed are linked to the batch's first
+Seeds are runs of ``K`` words, one in ``SPAN``, chosen by their hash alone: texts that share n runs of ``K`` words share a seed
+but for a share of (1 - 1 / SPAN) ** n, 0.0002 for an exact passage of ``LEAST`` words, however its surroundings differ. Within a task's batch the occurrences of a seed are linked to the batch's first
 one, to the first of all, which the batches' first ones settle among themselves, and to the one in the document before. A seed
 of a hot passage thus costs three links an occurrence, never all pairs; a pair of documents with one link is compared by its
 words around the link, as far as they agree. The seeds that two documents share are chained in order of both positions,
@@ -29,6 +29,8 @@ from rangeloom.llm.common import complete_groups, discard, materialize, record_b
 from rangeloom.llm.rows import bitmap, member, slots
 
 K, SPAN, LEAST, SIMILAR = 4, 6, 50, 0.8
+#: Bytes of text that a task takes at once; numpy needs some eighty times as much for a moment.
+SLICE = 1 << 19
 #: A seed's weight, the cost of a skipped word on either side, and the words looked at beyond a chain's ends.
 WEIGHT, GAP, MARGIN = 5.0, 0.08, 16
 #: Words of one side that an end skips at most where it grows, the words that must nearly agree behind them, and the fall of the
@@ -42,7 +44,6 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,43 +78,37 @@ def word_hashes(texts: list[bytes], spacers: int = 0):
     return value, owner, np.where(inside, np.arange(begin.size) - first[owner], -1)
 
 
-def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) of x[i : i + width], by doubling."""
-    out, have = x, 1
-    while have < width:
-        step = min(have, width - have)
-        out = pick(out[: out.size - step], out[step:])
-        have += step
-    return out
-
-
 def seeds(texts: list[bytes]):
-    """(hash, text index, position) of the winnowed seeds of each text."""
-    value, owner, place = word_hashes(texts, SPAN + 1)
+    """(hash, text index, position) of the seeds of each text: the runs of K words whose hash is a multiple of SPAN.
+
+    A run is a seed wherever it stands, so two texts that share it share the seed, whatever stands around it.
+    """
+    value, owner, place = word_hashes(texts, K)
     n = value.size - K + 1
-    if n <= SPAN:
+    if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.zeros(n, np.uint64)
     for j in range(K):
         h = h * np.uint64(_MULTIPLIER) + value[j : n + j]
     h = _mixed(h)
     spacer = np.concatenate([[0], np.cumsum(place < 0)])
-    h[spacer[K : K + n] - spacer[:n] > 0] = _NONE
-    lowest = _sliding(np.concatenate([np.full(SPAN - 1, _NONE), h, np.full(SPAN - 1, _NONE)]), SPAN, np.minimum)
-    best = _sliding(lowest, SPAN, np.maximum)[:n]
-    # a seed is the least of some window around it; windows that reach into spacers end at the text
-    at = np.flatnonzero((best == h) & (h != _NONE))
-    h, owner, place = h[at], owner[at], place[at]
-    # in a run that repeats a few words, the n-th overlapping occurrence of a seed is a seed of its own
-    order = np.lexsort((place, h, owner))
-    goes_on = np.zeros(order.size, bool)
-    goes_on[1:] = (np.diff(owner[order]) == 0) & (h[order][1:] == h[order][:-1]) & (np.diff(place[order]) <= K)
-    if goes_on.any():
+    inside = spacer[K : K + n] == spacer[:n]
+    # in a run that repeats a few words, the n-th overlapping occurrence of a run of K is a run of its own
+    again = np.zeros(n, bool)
+    for step in range(1, K + 1):
+        same = np.flatnonzero((h[step:] == h[:-step]) & inside[step:] & inside[:-step])
+        again[same] = again[same + step] = True
+    if again.any():
+        at = np.flatnonzero(again)
+        order = at[np.lexsort((place[at], h[at], owner[at]))]
+        goes_on = np.zeros(order.size, bool)
+        goes_on[1:] = (np.diff(owner[order]) == 0) & (h[order][1:] == h[order][:-1]) & (np.diff(place[order]) <= K)
         number = np.arange(order.size)
         rank = number - np.maximum.accumulate(np.where(goes_on, 0, number))
-        again = np.flatnonzero(rank)
-        h[order[again]] = _mixed(h[order[again]] + rank[again].astype(np.uint64) * np.uint64(_MULTIPLIER))
-    return h, owner, place
+        later = np.flatnonzero(rank)
+        h[order[later]] = _mixed(h[order[later]] + rank[later].astype(np.uint64) * np.uint64(_MULTIPLIER))
+    at = np.flatnonzero(inside & (h % np.uint64(SPAN) == 0))
+    return h[at], owner[at], place[at]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -124,7 +119,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     fields = [("hash", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ref", pa.int64()), ("ref_pos", pa.int32()), ("prev", pa.int64()), ("prev_pos", pa.int32())]
 
     def run(batches):
-        for b in sliced(batches, 4 << 20):
+        for b in sliced(batches, SLICE):
             h, owner, place = seeds(utf8(b.column(1)))
             if not h.size:
                 continue

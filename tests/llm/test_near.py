@@ -198,15 +198,19 @@ def test_recall_audit(spark):
     assert links > 80 and share >= 0.97
 
 
-def test_winnowing_reaches_each_shared_run():
-    rng = random.Random(4)
-    for n in (passages.K + passages.SPAN - 1, 40):
-        shared = [prose(1000 + i, 1) for i in range(n)]
+def test_seeds_do_not_depend_on_their_surroundings():
+    rng, alone = random.Random(4), 0
+    for n in (passages.LEAST,) * 200:
+        shared = [f"{rng.getrandbits(30):x}" for _ in range(n)]
         a = " ".join([*prose(rng.random(), 60).split(), *shared, *prose(rng.random(), 50).split()])
         b = " ".join([*prose(rng.random(), 7).split(), *shared])
         x, y = passages.seeds([a.encode()]), passages.seeds([b.encode(), a.encode()])
-        assert set(x[0].tolist()) & set(y[0][y[1] == 0].tolist())
+        alone += not set(x[0].tolist()) & set(y[0][y[1] == 0].tolist())
         assert x[0].tolist() == y[0][y[1] == 1].tolist()  # neighbours in a batch don't matter
+        whole = passages.seeds([" ".join(shared).encode()])[0].tolist()
+        assert [h for h in x[0].tolist() if h in set(whole)] == whole
+    assert alone == 0
+    assert len(passages.seeds([b"echo " * 400])[0]) > 40  # repeats of one word are runs of their own
 
 
 def test_chains_are_optimal():
