@@ -115,8 +115,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """hash, doc, pos of all occurrences of seeds, with ref, ref_pos: the batch's first occurrence, if it is another document's.
 
     prev, prev_pos: the last occurrence in the batch's document before this one by id, if that isn't the first occurrence.
+    edge: the document's seed before or behind this one doesn't lie just as far from the same reference.
     """
-    fields = [("hash", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ref", pa.int64()), ("ref_pos", pa.int32()), ("prev", pa.int64()), ("prev_pos", pa.int32())]
+    fields = [("hash", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ref", pa.int64()), ("ref_pos", pa.int32()), ("prev", pa.int64()), ("prev_pos", pa.int32()), ("edge", pa.bool_())]
 
     def run(batches):
         for b in sliced(batches, SLICE):
@@ -132,6 +133,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
             prev = np.maximum.accumulate(np.where(fresh | (np.diff(ids, prepend=ids[0]) != 0), number, 0)) - 1
             own, alone = ids[lead] == ids, np.maximum(prev, 0)
             no_prev = own | (alone == lead)
+            line = np.lexsort((place, ids))
+            turn = np.diff(ids[line]) != 0
+            turn |= np.diff(ids[lead][line]) != 0
+            turn |= np.diff((place[lead] - place)[line]) != 0
+            edge = np.empty(h.size, bool)
+            edge[line] = np.concatenate([[True], turn]) | np.concatenate([turn, [True]])
             yield record_batch(
                 fields,
                 [
@@ -142,17 +149,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     pa.array(place[lead].astype(np.int32), mask=own),
                     pa.array(ids[alone], mask=no_prev),
                     pa.array(place[alone].astype(np.int32), mask=no_prev),
+                    edge,
                 ],
             )
 
-    return docs.mapInArrow(run, "hash long, doc long, pos int, ref long, ref_pos int, prev long, prev_pos int")
+    return docs.mapInArrow(run, "hash long, doc long, pos int, ref long, ref_pos int, prev long, prev_pos int, edge boolean")
 
 
 def anchors(found: DataFrame) -> DataFrame:
     """doc, ref, pos, ref_pos: each occurrence of a shared seed with the first of its batch, the first of all and the one before.
 
-    Only batches' first documents meet in a window; the others have the one before in their batch, and look the first of all
-    up by a join on the hash.
+    Only batches' first documents meet in a window. The others look the first of all up by a join on the hash, and are linked to
+    the one before in their batch, at the edges of the runs that they share with the batch's first: within a run of LEAST words
+    that reference reports the passage, and a longer passage with another document goes over an edge of each shorter run.
     """
     first, near = found.where("ref is null").select("hash", "doc", "pos"), found.where("ref is not null")
     w = Window.partitionBy("hash").orderBy("doc", "pos")
@@ -161,8 +170,8 @@ def anchors(found: DataFrame) -> DataFrame:
     ranked = materialize(ranked, "leads")
     pick = lambda d, c="lead": d.select("doc", F.col(f"{c}.doc").alias("ref"), "pos", F.col(f"{c}.pos").alias("ref_pos"))
     leads = ranked.groupBy("hash").agg(F.first("lead").alias("lead"))
-    through = near.select("hash", "doc", "pos").join(leads, "hash").where("lead.doc <> doc")
-    inside = near.where("prev is not null").select("doc", F.col("prev").alias("ref"), "pos", F.col("prev_pos").alias("ref_pos"))
+    through = near.where("edge").select("hash", "doc", "pos").join(leads, "hash").where("lead.doc <> doc")
+    inside = near.where("edge and prev is not null").select("doc", F.col("prev").alias("ref"), "pos", F.col("prev_pos").alias("ref_pos"))
     return near.select("doc", "ref", "pos", "ref_pos").union(inside).union(pick(ranked)).union(pick(ranked, "prev")).union(pick(through))
 
 
