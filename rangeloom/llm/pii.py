@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -85,24 +86,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _contexts(text: str, spans):
-    """(kind:value, its context's words, hash of the context) of each base span."""
+    """(kind:value, its context's words, those of them that no other mention of it has counted, hash of the context) of each base span."""
+    places = [m.span() for m in _WORD.finditer(text)] if spans else []
+    begins, ends = [s for s, _ in places], [e for _, e in places]
+    counted = set()
     for start, kind, end in spans:
-        left = _WORD.findall(text[max(0, start - 40 * WINDOW) : start])[-WINDOW:]
-        right = _WORD.findall(text[end : end + 40 * WINDOW])[:WINDOW]
-        words = [w.lower() for w in left + right]
-        yield f"{KINDS[kind]}:{text[start:end]}", words, zlib.crc32(" ".join(words).encode()) if words else 0
+        before, behind = bisect_right(ends, start), bisect_left(begins, end)
+        around = [*range(max(0, before - WINDOW), before), *range(behind, min(len(places), behind + WINDOW))]
+        entity, words = f"{KINDS[kind]}:{text[start:end]}", [text[begins[i] : ends[i]].lower() for i in around]
+        fresh = [w for i, w in zip(around, words, strict=True) if (entity, i) not in counted]
+        counted.update((entity, i) for i in around)
+        yield entity, words, fresh, zlib.crc32(" ".join(words).encode()) if words else 0
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """entity, term, context, n: counted contexts of all base entities of (doc_id, text)."""
+    """entity, term, context, n: occurrences of terms beside all base entities of (doc_id, text), each once for an entity."""
     fields = [("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("n", pa.int64())]
 
     def run(batches):
         for b in sliced(batches):
             seen = Counter()
             for t in strings(b.column(1)):
-                for entity, words, context in _contexts(t, base_spans(t)):
-                    seen.update((entity, w, context) for w in words)
+                for entity, words, fresh, context in _contexts(t, base_spans(t)):
+                    seen.update(dict.fromkeys(((entity, w, context) for w in words), 0))  # also a word that counts elsewhere has this context
+                    seen.update((entity, w, context) for w in fresh)
             if seen:
                 yield record_batch(fields, [*zip(*seen, strict=True), list(seen.values())])
 
@@ -158,7 +165,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     counted = materialize(term_counts(docs, joint.select("term").distinct()), "terms")
     total = counted.where("term = ''").agg(F.sum("n")).first()[0] or 1
     entities = pairs.groupBy("entity").agg(F.sum("n").alias("positions"))
-    p, prior = F.col("joint") / F.greatest("n", "joint"), F.col("positions") / F.lit(float(total))
+    p, prior = F.col("joint") / F.col("n"), F.col("positions") / F.lit(float(total))
     scored = joint.join(counted.where("term <> ''"), "term").where(p >= GENERALISE).join(entities, "entity")
     scored = scored.select("term", F.split("entity", ":").getItem(0).alias("entity_kind"), p.alias("p"), F.log2(p / prior).alias("bits"))
     best = scored.where(F.col("bits") >= BITS).groupBy("term").agg(F.max(F.struct("p", "bits", "entity_kind")).alias("b"))
@@ -280,13 +287,13 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 for i, terms in enumerate(found):
                     if terms:
                         one = b.slice(i, 1).column(0)
-                        yield pa.RecordBatch.from_arrays([one.take(pa.array([0] * len(terms))), pa.array([part] * len(terms), pa.int32()), pa.array([n] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["row", "part", "n", "term"])
+                        yield pa.RecordBatch.from_arrays([one.take(pa.array([0] + [None] * (len(terms) - 1), pa.int64())), pa.array([part] * len(terms), pa.int32()), pa.array([n] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["row", "part", "n", "term"])
                         n += 1
 
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, part int, n long, term string"
     pending = materialize(keyed.mapInArrow(find, schema), "pending")
     known = pending.select("part", "n", "term").join(flagged.select("term", "entity_kind", "p"), "term").groupBy("part", "n").agg(F.collect_list(F.struct("term", "entity_kind", "p")).alias("terms"))
-    hard = pending.groupBy("part", "n").agg(F.first("row").alias("row")).join(known, ["part", "n"], "left").select("row.*", F.col("terms").alias("__terms"))
+    hard = pending.groupBy("part", "n").agg(F.first("row", ignorenulls=True).alias("row")).join(known, ["part", "n"], "left").select("row.*", F.col("terms").alias("__terms"))
 
     def rest(batch, extras):
         yield changed(batch, [{t["term"]: (t["entity_kind"], t["p"]) for t in x or ()} for x in extras[0].to_pylist()])
