@@ -2,16 +2,16 @@
 
 Defined cases. Null text, or text without a letter: ``und``, score 0. Every other text gets a learned language;
 ties go to the language with more training rows, then to the smaller name. Texts are scored whole, in blocks of
-``BLOCK`` folded bytes that are each encoded from the dictionary alone, so that long texts keep their evidence; where the
-margin is narrow, the dictionaries' pieces that the words consist of are counted instead. An empty
-training set yields ``und`` for all. Repeated rows give repeated results; extra columns are ignored.
+``BLOCK`` folded bytes that are each encoded from the dictionary alone, so that long texts keep their evidence. A narrow margin
+of a few bytes is measured more finely: the text's different words are encoded from ``PARTS`` parts of each dictionary at each of
+the ``LEVELS``, and the mean sizes decide. Texts without words that the dictionaries tell apart stay narrow. An empty training set yields ``und`` for all. Repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -21,11 +21,17 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import crc_mod, record_batch, sliced, strings, table
 from rangeloom.llm.rows import rewritten
 
-#: Bounds of the fitted model: expected documents, characters of each and dictionary bytes, per language.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 1000, 96 << 10
+#: Bounds of the fitted model: expected documents and dictionary bytes, per language. Only whole texts go into a dictionary.
+SAMPLE_DOCS, DICT_BYTES = 400, 96 << 10
 BLOCK, LEVEL = 1024, 6
+#: The finer measure: levels, parts of a dictionary, and words encoded at once.
+LEVELS, PARTS, WORDS = (3, 6, 9), 4, 200
+#: Stands before the words: a block that wouldn't shrink is stored as it is, so few words alone would have the same size everywhere.
+CARRIER = bytes(64)
 #: Least share of bytes by which the best language has to beat the second for ``accepted``.
 MARGIN = 0.001
+#: Bytes of difference that are measured more finely.
+NARROW = 3
 
 _LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
@@ -54,40 +60,37 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
     for name, n in counts.items():
         rate = F.when(F.col("l") == name, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(rate)
     spread = F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.where(spread < rate).select("l", "i", F.substring("t", 1, SAMPLE_CHARS).alias("t")).collect()
+    picked = rows.where((spread < rate) & (F.length("t") < DICT_BYTES)).select("l", "i", "t").collect()
     model = []
     for name in sorted(counts, key=lambda k: (-counts[k], k)):
         parts, size = [], 0
-        for r in sorted((r for r in picked if r["l"] == name), key=lambda r: str(r["i"])):
+        for r in sorted((r for r in picked if r["l"] == name), key=lambda r: (str(r["i"]), r["t"])):
             part = folded(r["t"])
-            if size + len(part) > DICT_BYTES:
-                break
-            parts.append(part)
-            size += len(part)
+            if size + len(part) < DICT_BYTES:  # what doesn't fit whole is left out, so that all dictionaries fill up
+                parts.append(part)
+                size += len(part) + 1
         data = b"\n".join(parts)
         if len(data) >= 8:
             model.append((name, data))
     return model
 
 
-def phrases(word: bytes, data: bytes) -> int:
-    """Longest pieces of a dictionary, one after the other, that a word consists of; a foreign byte is a piece."""
-    n, at = 0, 0
-    while at < len(word):
-        size = 1
-        while at + size < len(word) and word[at : at + size + 1] in data:
-            size += 1
-        n, at = n + 1, at + size
-    return n
+def _coder(data: bytes, level: int, most: int):
+    """Compresses short texts, of up to ``most`` bytes, from a raw-content dictionary."""
+    params = zstandard.ZstdCompressionParameters.from_level(level, source_size=most, dict_size=len(data), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    words = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=words, compression_params=params).compress
 
 
 def _scorer(model):
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-    coders = []
-    for _, data in model:
-        words = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(compression_params=params)
-        coders.append(zstandard.ZstdCompressor(dict_data=words, compression_params=params).compress)
+    coders = [_coder(data, LEVEL, BLOCK) for _, data in model]
+
+    @functools.cache
+    def fine():
+        """For each language the coders of its dictionary's parts; made when a text first needs them."""
+        return [[_coder(data[i * len(data) // PARTS : (i + 1) * len(data) // PARTS], level, 4 * BLOCK) for i in range(PARTS) for level in LEVELS] for _, data in model]
+
     names = [n for n, _ in model]
 
     def score(text: str):
@@ -102,13 +105,15 @@ def _scorer(model):
             return names[0], 1.0, 1.0
         second = min(s for k, s in enumerate(sizes) if k != best)
         gain = second - sizes[best]
-        if gain < MARGIN * len(data):
-            # too short, or too repetitive, for whole bytes: count the dictionary's pieces that the words consist of
-            words = Counter(data.split())
-            sizes = [sum(n * phrases(b" " + w + b" ", d) for w, n in words.items()) for _, d in model]
+        size = len(data)
+        if gain < max(MARGIN * size, NARROW):
+            words = list(dict.fromkeys(data.split()))
+            pieces = [CARRIER + b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, len(words), WORDS)]
+            size = sum(map(len, words)) + len(words) + 1
+            sizes = [sum(len(c(x)) for c in own for x in pieces) / len(own) for own in fine()]
             best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
             gain = min(s for k, s in enumerate(sizes) if k != best) - sizes[best]
-        return names[best], 1.0 / (1.0 + math.exp(-min(gain, 60) / 4.0)), gain / max(len(data), 1)
+        return names[best], 1.0 / (1.0 + math.exp(-min(gain, 60) / 4.0)), gain / max(size, 1)
 
     return score
 
