@@ -6,7 +6,8 @@ rest of a word can still depend on: the longest suffix that begins some token, t
 count of the best encoding up to each place in that suffix, and what ending the word here would add; around it stands
 the splitter's state (between words, in letters, in other signs, after an apostrophe). An encoding is the library's
 if and only if each two neighbouring tokens encode to themselves, so the states are finite for words of any length.
-States and transitions are compiled when a text first needs them and kept by the worker, within ``MOST_STATES``.
+States and transitions are compiled when a text first needs them and kept by the worker, within ``MOST_STATES``; beyond
+that, also in the middle of a word, all but the states in use are forgotten.
 
 Texts are cut into chunks that run side by side. A chunk's map from start state to end state is constant from its
 first blank on; chunks without a blank are composed with their neighbours in turn. Composing the maps by a prefix scan
@@ -142,6 +143,17 @@ class Transducer:
         self.chars: list[str] = []
         self.rare: dict[tuple[int, int], tuple[int, int]] = {}
         self.kinds: dict[str, str] = {}
+        self.held = np.zeros(0, np.int64)
+
+    def renewed(self, numbers: np.ndarray) -> np.ndarray:
+        """Forgets all compiled states but the given ones and those met before a run; returns their new numbers."""
+        kept = {n: self.states[n] for n in {*numbers.tolist(), *self.held.tolist()}}
+        columns, held = (self.column, self.chars), self.held
+        self.clear()
+        (self.column, self.chars), self.held = columns, held
+        fresh = {n: self.number(state) for n, state in kept.items()}
+        self.held[:] = [fresh[n] for n in self.held.tolist()]
+        return np.array([fresh[n] for n in numbers.tolist()], np.int64)
 
     def columns(self, codes: np.ndarray) -> np.ndarray:
         """Column of each code point; the last one stands for all beyond the first ``COLUMNS - 1``."""
@@ -261,6 +273,8 @@ class Transducer:
             got = self.advance(states[:live], columns[at], lambda at=at: codes[at])
             added[at] = (got & 255) - 64
             states[:live] = got >> 8
+            if len(self.states) > MOST_STATES:  # also within one long word: forget all but where the lanes stand
+                states = self.renewed(states)
         out = np.empty_like(states)
         out[order] = states
         return out
@@ -276,10 +290,11 @@ class Transducer:
         cut = np.where(first < blank.size, blank[np.minimum(first, max(blank.size - 1, 0))] if blank.size else ends, ends)
         whole = cut >= ends  # no blank: the map isn't constant
         heads = np.minimum(cut + 1, ends)
-        after = np.zeros(begins.size, np.int64)
+        both = np.zeros(2 * begins.size, np.int64)  # states behind and before each chunk, in one array that outlives renewals
+        after, start = both[: begins.size], both[begins.size :]
+        self.held = both
         live = np.flatnonzero(~whole)
         after[live] = self.run(codes, columns, added, heads[live], ends[live], np.zeros(live.size, np.int64))
-        start = np.zeros(begins.size, np.int64)
         start[1:] = after[:-1]
         waits = np.zeros(begins.size, bool)  # the chunk before has no constant map
         waits[1:] = whole[:-1]
@@ -290,6 +305,7 @@ class Transducer:
             after[through] = got[whole[todo]]
             todo = through[through + 1 < begins.size] + 1
             start[todo] = after[todo - 1]
+        self.held = np.zeros(0, np.int64)
         return added
 
 
