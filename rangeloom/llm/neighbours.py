@@ -6,7 +6,7 @@ neighbours and reverse neighbours with each other (salted beyond ``JOIN`` rows)
 a list full of links is saturated and grows to ``SATURATED``. Rounds end when they change little. Candidates travel as
 half-precision vectors; the edges over the threshold are decided in double precision. The links of a component are
 then counted in blocks of ``BLOCK`` rows, so that links beyond a full list count too and no pair is ever a row. An audit
-compares up to ``AUDIT`` nodes with all vectors; below ``RECALL`` the search is repeated with longer lists and more leaves.
+compares up to ``AUDIT`` nodes with all vectors; below ``RECALL`` the search is repeated with longer lists and more leaves, and after ``ATTEMPTS`` by all pairs of blocks.
 
 Defined cases. Vectors that are null, empty, zero or have null or non-finite parts, and rows without a label, link with
 nothing. Vectors of different lengths don't link. Repeated rows are vectors of their own and link with each other. An empty
@@ -196,11 +196,46 @@ def counted(space: DataFrame, found: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def audit(space: DataFrame, degrees: DataFrame) -> float:
-    """Share of the links of a bounded hash sample of nodes, compared with all nodes, that was found."""
-    total = space.count()
-    few = space.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, AUDIT / max(total, 1)))))
-    picked = few.select("node", "label", "size", "unit").collect()
+def exact(space: DataFrame) -> DataFrame:
+    """src, dst: links that connect all that can be reached, from every pair of blocks of a label; each gives a forest, never its pairs."""
+    sizes = space.groupBy("label", "size").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = space.join(sizes, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keys = ["label", "size", "i", "j"]
+    rows = rows.select("label", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "unit")
+
+    def run(batches):
+        for t, cuts in complete_groups(batches, 4):
+            ids, units, out = t.column(4).to_numpy(), t.column(5).to_pylist(), []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                x, rest = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1), np.arange(b - a)
+                while rest.size:
+                    queue, rest = [int(rest[0])], rest[1:]
+                    while queue and rest.size:
+                        at = queue.pop()
+                        hit = x[rest] @ x[at] >= THRESHOLD
+                        out += [(int(ids[a + at]), int(ids[a + k])) for k in rest[hit].tolist()]
+                        queue += rest[hit].tolist()
+                        rest = rest[~hit]
+            if out:
+                yield record_batch([("src", pa.int64()), ("dst", pa.int64())], list(zip(*out, strict=True)))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+
+
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows, by a hash of the node."""
+    return rows.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, most / max(rows.count(), 1)))))
+
+
+def audit(space: DataFrame, found: DataFrame, degrees: DataFrame, full: int) -> float:
+    """Share of the links of a bounded hash sample of nodes, compared with all nodes, that was found.
+
+    Half of the sample is drawn from all nodes, half from components of more than ``full`` nodes, whose lists may have been full.
+    """
+    large = found.join(found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > full), "component").select("node")
+    few = _drawn(space.select("node"), AUDIT // 2).union(_drawn(large, AUDIT // 2)).distinct()
+    picked = space.join(few, "node").select("node", "label", "size", "unit").collect()
     if not picked:
         return 1.0
     shared = space.sparkSession.sparkContext.broadcast([tuple(r) for r in picked])
@@ -232,10 +267,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     space = materialize(nodes(vectors), "nodes")
-    for attempt in range(ATTEMPTS):
-        found = materialize(components(links(space, search(space, attempt))), "components")
+    for attempt in range(ATTEMPTS + 1):
+        edges = links(space, search(space, attempt)) if attempt < ATTEMPTS else exact(space)
+        found = materialize(components(edges), "components")
         degrees = materialize(counted(space, found), "degrees")
-        if audit(space, degrees) >= RECALL:
+        if attempt == ATTEMPTS or audit(space, found, degrees, SATURATED << attempt) >= RECALL:
             break
     result = space.join(found, "node", "left").join(degrees, "node", "left")
     result = result.select("node", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
@@ -250,3 +286,16 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_neighbours": op3_neighbours}
+#: All pairs of a label, and all that each vector reaches.
+ORACLES = {
+    "op3_neighbours": """WITH RECURSIVE clean AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), unit AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM clean),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93
+), reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.c)
+SELECT r.vec_id, coalesce(any_value(d.n), 0) AS n_links, min(r.c) AS component_id, r.vec_id = min(r.c) AS kept
+FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) d ON d.a = r.vec_id GROUP BY r.vec_id"""
+}
