@@ -337,5 +337,19 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_search(spark):
+    """The search by all pairs of blocks connects what brute force connects, with fewer links than pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((3, 16))
+    x = np.concatenate([centres[i % 3] + 0.12 * rng.standard_normal((1, 16)) for i in range(700)] + [rng.standard_normal((60, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = [i % 2 for i in range(len(x))]
+    space = spark.createDataFrame([(i, y[i], 16, 1, bytearray(v.astype(float).tobytes())) for i, v in enumerate(x)], "node long, label long, size int, weight long, unit binary")
+    found = [(r.src, r.dst) for r in neighbours.exact(space).collect()]
+    near = (x @ x.T >= 0.93) & (np.array(y)[:, None] == np.array(y)[None, :])
+    pairs = list(zip(*np.nonzero(np.triu(near, 1)), strict=True))
+    assert _components(len(x), found) == _components(len(x), pairs) and len(found) < len(pairs) / 10
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}

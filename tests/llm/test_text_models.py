@@ -3,8 +3,10 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from rangeloom.llm import language, pii, toxicity
 
@@ -57,6 +59,45 @@ def test_disclosing_terms(spark):
     assert clean[10].text == rows[5][1] and clean[0].n_chars == len(clean[0].text)
 
 
+def test_shares_by_brute_force(spark):
+    """Every occurrence of a term within WINDOW words of an entity's mentions counts once for the entity, however long the words."""
+    rng, rows = random.Random(21), []
+    long_ = ["".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(4)]
+    words = ["zorblatt", "and", "the", "quux", *long_]
+    for i in range(60):
+        mentions = ["secret@corp.example.com", "other@corp.example.com", "1.2.3.4"]
+        rows.append((i, " ".join(rng.choice(mentions) if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randrange(40)))))
+    want, contexts = Counter(), {}
+    for _, text in rows:
+        near = set()
+        for start, kind, end in plain_spans(text):
+            entity = f"{pii.KINDS[kind]}:{text[start:end]}"
+            left = [m for m in re.finditer(r"\w{3,}", text) if m.end() <= start][-pii.WINDOW :]
+            right = [m for m in re.finditer(r"\w{3,}", text) if m.start() >= end][: pii.WINDOW]
+            near |= {(entity, m.group().lower(), m.start()) for m in left + right}
+            for m in left + right:
+                contexts.setdefault((entity, m.group().lower()), set()).add(tuple(x.group().lower() for x in left + right))
+        want.update((e, w) for e, w, _ in near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.contexts(docs).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.collect_set("context").alias("contexts")).collect()
+    assert {(r.entity, r.term): r.n for r in found} == want
+    assert {(r.entity, r.term): len(r.contexts) for r in found} == {k: len(v) for k, v in contexts.items()}
+    every = Counter(w for _, t in rows for w in re.findall(r"\w{3,}", t))
+    assert all(n <= every[w] for (_, w), n in want.items())
+    for r in pii.disclosing(docs).collect():
+        assert abs(r.p - max(n / every[w] for (_, w), n in want.items() if w == r.term)) < 1e-12
+
+
+def test_many_hits_in_one_row(spark):
+    """A row with many disclosing terms is rewritten whole; the row itself travels once."""
+    terms = [f"zorb{i:02d}x" for i in range(40)]
+    rows = [(i, " ".join(f"{prose(50 * i + j, 7)} {t} secret{j}@corp.example.com" for j, t in enumerate(terms))) for i in range(4)]
+    rows += [(100 + i, prose(7000 + i, 400)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert len(clean) == 64 and not any(t in clean[0] for t in terms) and clean[100] == rows[4][1]
+
+
 def test_pii_of_odd_rows(odd, none):
     docs = odd.select("doc_id", "text")
     found = pii.report(pii.spans(docs, pii.disclosing(docs))).collect()
@@ -94,6 +135,28 @@ def test_kernel_tolerates_gaps():
     assert abs(k[0] - 1) < 1e-5 and k[1] > 0.5 and k[2] > 0.6 and k[3] < 0.2
 
 
+def test_kernel_by_brute_force():
+    """The kernel is the normed sum over common subsequences of three symbols in spans of five, weighted by their gaps."""
+
+    def subsequences(word):
+        symbols, out = "^" + word + "$", Counter()
+        for i in range(len(symbols)):
+            for j in range(i + 1, len(symbols)):
+                for k in range(j + 1, len(symbols)):
+                    if k - i <= 4:
+                        out[symbols[i] + symbols[j] + symbols[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(30)]
+    got = toxicity._kernel(words, words)
+    norm = lambda w: toxicity.features([w])[3][0]
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = subsequences(a), subsequences(b)
+            assert abs(got[i, j] - sum(x[s] * y[s] for s in x) / norm(a) / norm(b)) < 1e-4, (a, b)
+
+
 def test_toxicity_held_out():
     train, test = _toxic_rows(300, 1), _toxic_rows(200, 2)
     model = toxicity.fit([t for t, _ in train], [y for _, y in train])
@@ -141,6 +204,24 @@ def test_language_held_out(spark):
     assert sum(found[i].lang_pred == x for i, x in truth.items()) >= 0.97 * len(truth)
 
 
+def test_sizes_decide():
+    """Clear margins are the plain sizes of zstandard; a text of a few known words is told by the finer measure."""
+    import zstandard
+
+    model = [(k, " ".join(random.Random(k).choices(v.split(), k=4000)).encode()) for k, v in LANGUAGES.items()]
+    score = language._scorer(model)
+    text = "the that with have of and from this " * 9
+    blocks = [language.folded(text)[i : i + language.BLOCK] for i in range(0, len(text), language.BLOCK)]
+    sizes = {}
+    for name, data in model:
+        params = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, source_size=language.BLOCK, dict_size=len(data), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes[name] = sum(len(coder.compress(b)) for b in blocks)
+    assert min(sizes, key=sizes.get) == "en" == score(text)[0]
+    assert [score(w)[0] for w in ("nicht auf eine sich", "que pour dans avec", "that with from this")] == ["de", "fr", "en"]
+    assert score("zzzz qqqq xxxx")[2] < 0.2 and language.folded("A1b_C") == b"a b c"
+
+
 def test_letters():
     assert [language.has_letter(t) for t in ("", "²½ Ⅷ 12_", "²a", "日", "_", "é")] == [False, False, True, True, False, True]
 

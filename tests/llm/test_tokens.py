@@ -47,6 +47,21 @@ def test_rare_symbols_and_full_tables(monkeypatch):
         assert int(machine.scan(codes).sum()) == len(library.encode(t, add_special_tokens=False).ids)
 
 
+def test_long_words_forget_states(monkeypatch):
+    """Words of many thousand letters count as in the library while the table of states is renewed again and again."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(transducer, "MOST_STATES", 300)
+    machine = transducer.Transducer(transducer.compiled(None)[0].machine)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (700, 3000)] + [" ".join("".join(rng.choice("etaoin") for _ in range(900)) for _ in range(4))]
+    codes = [np.frombuffer((t + "\n").encode("utf-32-le"), np.uint32) for t in texts]
+    got = [int(machine.scan(c).sum()) for c in codes]
+    assert got == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    added = machine.scan(np.concatenate(codes))
+    assert np.add.reduceat(added.astype(int), np.cumsum([0] + [c.size for c in codes[:-1]])).tolist() == got
+    assert len(machine.states) < 2000
+
+
 def test_fast_ids_equal_the_library():
     library = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
     encode = tokens.encoder()
