@@ -407,7 +407,7 @@ def _(e):
 
 # set operations
 
-_A, _B = "SELECT o_custkey AS k FROM orders", "SELECT c_custkey AS k FROM customer"
+_A, _B = "SELECT c_custkey AS k FROM customer", "SELECT o_custkey AS k FROM orders WHERE o_totalprice > 300000"
 for _n, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL")):
     same(f"set_{_n}", f"{_A} {_op} {_B}")
 
@@ -664,7 +664,7 @@ def _(e):
     return _laid_out(e, "customer").where("customer", "c_custkey IN (42, 43)").select("c_custkey", "c_name")
 
 
-@query("layout_whole", "SELECT count(*) AS n, sum(o_custkey) AS s FROM orders")
+@query("layout_whole", "SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders")
 def _(e):
     return _laid_out(e, "orders").sql("SELECT count(*) AS n, sum(o_custkey) AS s FROM orders")
 
