@@ -4,8 +4,9 @@ Equal vectors of a label are one node with a weight. A first neighbour graph com
 whose number grows with the label's size and which are salted beyond ``LEAF`` rows. NN-descent then joins each node's
 neighbours and reverse neighbours with each other (salted beyond ``JOIN`` rows) and keeps the best ``NEAREST`` of each node;
 a list full of links is saturated and grows to ``SATURATED``. Rounds end when they change little. Candidates travel as
-half-precision vectors; the edges over the threshold are decided in double precision. The links of a component are
-then counted in blocks of ``BLOCK`` rows, so that links beyond a full list count too and no pair is ever a row. An audit
+half-precision vectors; the edges over the threshold are decided in double precision. Links between two groups that both
+fill their lists are evicted by closer ones, so components of more than ``NEAREST`` nodes are searched again for neighbours
+outside their own component, until no search joins two of them. The links of a component are then counted in blocks of ``BLOCK`` rows, so that links beyond a full list count too and no pair is ever a row. An audit
 compares up to ``AUDIT`` nodes with all vectors; below ``RECALL`` the search is repeated with longer lists and more leaves, and after ``ATTEMPTS`` by all pairs of blocks.
 
 Defined cases. Vectors that are null, empty, zero or have null or non-finite parts, and rows without a label, link with
@@ -52,37 +53,37 @@ def _halves(units: list[bytes]) -> list[bytes]:
 
 
 def _leaves(space: DataFrame, tables: int, seed: int) -> DataFrame:
-    """label, size, leaf (table, signature), node, half: a row for each node and table."""
-    fields = [("label", pa.int64()), ("size", pa.int32()), ("t", pa.int32()), ("signature", pa.int64()), ("node", pa.int64()), ("half", pa.binary())]
+    """label, size, leaf (table, signature), node, component, half: a row for each node and table."""
+    fields = [("label", pa.int64()), ("size", pa.int32()), ("t", pa.int32()), ("signature", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("half", pa.binary())]
 
     def run(batches):
         for b in batches:
-            units = b.column(3).to_pylist()
+            units = b.column(4).to_pylist()
             sizes = np.fromiter(map(len, units), np.int64, len(units)) // 8
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
                 part = b.take(pa.array(rows))
-                x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(rows.size, size)
-                half = _halves(part.column(3).to_pylist())
+                x = np.frombuffer(b"".join(part.column(4).to_pylist()), np.float64).reshape(rows.size, size)
+                half = _halves(part.column(4).to_pylist())
                 for t in range(tables):
                     planes = np.random.default_rng([seed, t, size]).standard_normal((size, BITS))
                     signature = ((x @ planes) > 0) @ (1 << np.arange(BITS - 1, -1, -1))
-                    yield record_batch(fields, [part.column(1), part.column(2), np.full(rows.size, t), signature, part.column(0), half])
+                    yield record_batch(fields, [part.column(1), part.column(2), np.full(rows.size, t), signature, part.column(0), part.column(3), half])
 
-    found = space.select("node", "label", "size", "unit").mapInArrow(run, "label long, size int, t int, signature long, node long, half binary")
+    found = space.select("node", "label", "size", "component", "unit").mapInArrow(run, "label long, size int, t int, signature long, node long, component long, half binary")
     sizes = space.groupBy("label", "size").agg(F.count("*").alias("n"))
     depth = F.least(F.greatest(F.ceil(F.log2(F.col("n") / LEAF)), F.lit(0)), F.lit(BITS)).cast("int")
-    return found.join(sizes, ["label", "size"]).select("label", "size", "t", F.call_function("shiftright", F.col("signature"), F.lit(BITS) - depth).alias("leaf"), "node", "half")
+    return found.join(sizes, ["label", "size"]).select("label", "size", "t", F.call_function("shiftright", F.col("signature"), F.lit(BITS) - depth).alias("leaf"), "node", "component", "half")
 
 
 _EDGE = [("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())]
 _EDGES = "u long, v long, sim float"
 
 
-def _best(x: np.ndarray, ids: np.ndarray, floor: np.ndarray, most: int):
-    """Edges from each row to its ``most`` nearest others whose cosine exceeds the row's floor."""
+def _best(x: np.ndarray, ids: np.ndarray, component: np.ndarray, floor: np.ndarray, most: int):
+    """Edges from each row to its ``most`` nearest rows of other components whose cosine exceeds the row's floor."""
     sim = x @ x.T
-    sim[ids[:, None] == ids[None, :]] = -2
+    sim[component[:, None] == component[None, :]] = -2
     n = min(most, len(ids) - 1)
     if n < 1:
         return None
@@ -93,23 +94,23 @@ def _best(x: np.ndarray, ids: np.ndarray, floor: np.ndarray, most: int):
 
 
 def _blocks(keyed: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Nearest edges within each group of (keys, node, floor, half); groups have a bounded size."""
+    """Nearest edges within each group of (keys, node, component, floor, half); groups have a bounded size."""
     k = len(keys)
 
     def run(batches):
         for t, cuts in complete_groups(batches, k):
-            ids, floor = t.column(k).to_numpy(), t.column(k + 1).to_numpy()
-            halves = t.column(k + 2).to_pylist()
+            ids, component, floor = (t.column(k + c).to_numpy() for c in range(3))
+            halves = t.column(k + 3).to_pylist()
             out = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a > 1:
                     x = np.frombuffer(b"".join(halves[a:b]), np.float16).reshape(b - a, -1).astype(np.float32)
-                    if (e := _best(x, ids[a:b], floor[a:b], most)) is not None:
+                    if (e := _best(x, ids[a:b], component[a:b], floor[a:b], most)) is not None:
                         out.append(e)
             if out:
                 yield record_batch(_EDGE, [np.concatenate(c) for c in zip(*out, strict=True)])
 
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", F.col("floor").cast("float"), "half").mapInArrow(run, _EDGES)
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "component", F.col("floor").cast("float"), "half").mapInArrow(run, _EDGES)
 
 
 def _salted(rows: DataFrame, keys: list[str], bound: int) -> DataFrame:
@@ -127,22 +128,24 @@ def _kept(edges: DataFrame, nearest: int, saturated: int) -> DataFrame:
 
 
 def search(space: DataFrame, attempt: int) -> DataFrame:
-    """u, v, sim: a refined neighbour graph."""
+    """u, v, sim: a refined neighbour graph; its edges lead out of a node's ``component``."""
     nearest, saturated, tables = NEAREST << attempt, SATURATED << attempt, TABLES + 2 * attempt
     leaves = _salted(_leaves(space, tables, 11 + attempt), ["label", "size", "t", "leaf"], LEAF)
     graph = materialize(_kept(_blocks(leaves.withColumn("floor", F.lit(-1.5)), ["label", "size", "t", "leaf", "salt"], nearest), nearest, saturated), "graph")
 
     def run(batches):
         for b in batches:
-            yield record_batch([("node", pa.int64()), ("half", pa.binary())], [b.column(0), _halves(b.column(1).to_pylist())])
+            yield record_batch([("node", pa.int64()), ("component", pa.int64()), ("half", pa.binary())], [*b.columns[:2], _halves(b.column(2).to_pylist())])
 
-    halves = materialize(space.select("node", "unit").mapInArrow(run, "node long, half binary"), "halves")
+    halves = materialize(space.select("node", "component", "unit").mapInArrow(run, "node long, component long, half binary"), "halves")
     total = halves.count()
     for _ in range(ROUNDS):
-        floor = graph.groupBy("u").agg(F.when(F.count("*") >= nearest, F.min("sim")).otherwise(F.lit(-1.5)).alias("floor"))
+        n, least = F.count("*"), F.min("sim")
+        open_ = F.when(n >= nearest, F.least(least, F.lit(THRESHOLD - SLACK))).otherwise(F.lit(-1.5))
+        floor = graph.groupBy("u").agg(F.when(n >= saturated, least).otherwise(open_).alias("floor"))
         both = graph.select(F.col("u").alias("m"), F.col("v").alias("node")).union(graph.select(F.col("v").alias("m"), F.col("u").alias("node"))).distinct()
         both = both.union(graph.select(F.col("u").alias("m"), F.col("u").alias("node")).distinct())
-        members = _salted(both, ["m"], JOIN).join(halves.join(floor.withColumnRenamed("u", "node"), "node", "left").select("node", "half", F.coalesce("floor", F.lit(-1.5)).alias("floor")), "node")
+        members = _salted(both, ["m"], JOIN).join(halves.join(floor.withColumnRenamed("u", "node"), "node", "left").select("node", "component", "half", F.coalesce("floor", F.lit(-1.5)).alias("floor")), "node")
         found = _blocks(members, ["m", "salt"], nearest)
         new = materialize(_kept(graph.union(found), nearest, saturated), "graph")
         changed = new.join(graph, ["u", "v"], "left_anti").count()
@@ -150,9 +153,36 @@ def search(space: DataFrame, attempt: int) -> DataFrame:
         graph = new
         if changed <= CHANGED * total:
             break
+    discard(halves)
     return graph
 
 
+def joined(space: DataFrame, attempt: int) -> DataFrame:
+    """node, component of all nodes with links: the groups of a first search, joined by searches between them.
+
+    A link that no list keeps has ``NEAREST`` closer ones at both of its ends, so only larger groups are searched again.
+    Each such search lets a node see the nearest of other groups only; the last one joins nothing.
+    """
+    nearest = NEAREST << attempt
+    alone = space.withColumn("component", F.col("node"))
+    found = materialize(components(links(space, search(alone, attempt))), "components")
+    while True:
+        kept = found.join(space.select("node", "label", "size"), "node")
+        large = kept.groupBy("label", "size", "component").agg(F.count("*").alias("n")).where(F.col("n") > nearest)
+        rivals = large.groupBy("label", "size").agg(F.count("*").alias("groups")).where("groups > 1")
+        within = large.join(rivals, ["label", "size"], "left_semi").select("component")
+        part = materialize(space.join(found.join(within, "component", "left_semi"), "node"), "groups")
+        if part.isEmpty():
+            return found
+        new = materialize(links(space, search(part, attempt)), "between")
+        if new.isEmpty():
+            return found
+        forest = found.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        found, old = materialize(components(forest.union(new)), "components"), found
+        for used in (old, part, new):
+            discard(used)
+
+
 def links(space: DataFrame, graph: DataFrame) -> DataFrame:
     """src, dst of the graph's edges whose cosine in double precision reaches the threshold."""
     close = graph.where(F.col("sim") >= THRESHOLD - SLACK).select(F.greatest("u", "v").alias("src"), F.least("u", "v").alias("dst")).distinct()
@@ -268,8 +298,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     space = materialize(nodes(vectors), "nodes")
     for attempt in range(ATTEMPTS + 1):
-        edges = links(space, search(space, attempt)) if attempt < ATTEMPTS else exact(space)
-        found = materialize(components(edges), "components")
+        found = joined(space, attempt) if attempt < ATTEMPTS else materialize(components(exact(space)), "components")
         degrees = materialize(counted(space, found), "degrees")
         if attempt == ATTEMPTS or audit(space, found, degrees, SATURATED << attempt) >= RECALL:
             break

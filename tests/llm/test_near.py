@@ -353,3 +353,21 @@ def test_exact_search(spark):
 
 def test_registered():
     assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_links_between_saturated_groups(spark):
+    """Groups whose lists are full of closer vectors of their own are still joined by the links between them."""
+    rng = np.random.default_rng(7)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    near = np.arccos(0.945)
+    centres = [axes[0], np.cos(near) * axes[0] + np.sin(near) * axes[1], np.cos(near) * axes[0] - np.sin(near) * axes[1], axes[5]]
+    rows = [c + 0.004 * rng.standard_normal(64) for c in centres for _ in range(90)] + list(rng.standard_normal((300, 64)))
+    df = spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93) & ~np.eye(len(rows), dtype=bool)
+    assert links[:90, 90:270].mean() > 0.5 and not links[90:180, 180:270].any()
+    space = neighbours.nodes(df)
+    found = {r.node: r.component for r in neighbours.joined(space, 0).collect()}  # without the audit and what follows it
+    assert {found[i] for i in range(270)} == {0} and {found[i] for i in range(270, 360)} == {270}
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(rows))] == links.sum(axis=1).tolist()
