@@ -9,9 +9,11 @@ if and only if each two neighbouring tokens encode to themselves, so the states
 States and transitions are compiled when a text first needs them and kept by the worker, within ``MOST_STATES``; beyond
 that, also in the middle of a word, all but the states in use are forgotten.
 
-Texts are cut into chunks that run side by side. A chunk's map from start state to end state is constant from its
-first blank on; chunks without a blank are composed with their neighbours in turn. Composing the maps by a prefix scan
-gives each chunk its start state, then the heads before the first blanks are run.
+Texts are cut into chunks that run side by side, each from the state that the ``LEAD`` symbols before it lead to: what a
+word's encoding depends on seldom reaches further back. So each chunk has a map from this start state to its end state; from
+its first blank on the map is constant. A prefix scan (``composed``) joins neighbouring maps by doubling spans as long as
+the left one's end state is the right one's start. Where it is not, the chunk is run again from the left one's end
+state and the maps are composed anew, until every chunk starts where the one before it ends.
 
 Defined cases. Null text counts as empty: no bytes, no tokens. Special strings inside a text count as one token each.
 Repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import record_batch, sliced, table
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
-CHUNK, MOST_STATES, COLUMNS = 512, 300_000, 112
+CHUNK, LEAD, MOST_STATES, COLUMNS = 512, 48, 300_000, 112
+#: Start states of a map that is constant, and of one that no state is known for; the end state of the latter.
+ANY, NEVER, NONE = -1, -2, -3
 #: Symbols that end a word are moved here, one character each.
 _END = 0xE000
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -128,6 +132,20 @@ class WordMachine:
         return state, added
 
 
+def composed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """State behind each chunk of a text by a prefix scan over the chunks' maps, ``NONE`` where they don't meet.
+
+    A map leads from the state ``first`` to ``last``, or from ``ANY`` state; of other start states it knows nothing yet.
+    """
+    span = 1
+    while span < first.size:
+        constant, meets = first[span:] == ANY, first[span:] == last[:-span]
+        lead = np.where(constant, ANY, np.where(meets, first[:-span], NEVER))
+        first, last = np.append(first[:span], lead), np.append(last[:span], np.where(constant | meets, last[span:], NONE))
+        span *= 2
+    return last
+
+
 class Transducer:
     """Lazily compiled transitions between numbered states. State 0 stands between words."""
 
@@ -295,16 +313,19 @@ class Transducer:
         self.held = both
         live = np.flatnonzero(~whole)
         after[live] = self.run(codes, columns, added, heads[live], ends[live], np.zeros(live.size, np.int64))
+        lead = 1 + np.flatnonzero(whole[:-1])  # what stands before is open: start from where a short lead ends
         start[1:] = after[:-1]
-        waits = np.zeros(begins.size, bool)  # the chunk before has no constant map
-        waits[1:] = whole[:-1]
-        todo = np.flatnonzero(~waits)
+        if lead.size:
+            spare = np.zeros_like(added)
+            start[lead] = self.run(codes, columns, spare, begins[lead] - LEAD, begins[lead], np.zeros(lead.size, np.int64))
+        todo = np.arange(begins.size)
         while todo.size:
             got = self.run(codes, columns, added, begins[todo], heads[todo], start[todo])
-            through = todo[whole[todo]]
-            after[through] = got[whole[todo]]
-            todo = through[through + 1 < begins.size] + 1
-            start[todo] = after[todo - 1]
+            after[todo[whole[todo]]] = got[whole[todo]]
+            behind = composed(np.where(whole, start, ANY), after)
+            before = np.where(behind[:-1] == NONE, after[:-1], behind[:-1])
+            todo = 1 + np.flatnonzero(start[1:] != before)
+            start[todo] = before[todo - 1]
         self.held = np.zeros(0, np.int64)
         return added
 

@@ -62,6 +62,28 @@ def test_long_words_forget_states(monkeypatch):
     assert len(machine.states) < 2000
 
 
+def test_prefix_scan_composes_chunk_maps(monkeypatch):
+    """Start states by the scan are those of running the chunks one after the other, also where no short lead finds them."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 64, 201):
+        for known in (0.0, 0.7, 0.97, 1.0):
+            after, start = rng.integers(0, 3, n), np.zeros(n, np.int64)
+            start[1:] = np.where(rng.random(n - 1) < known, after[:-1], 3)
+            first = np.where(rng.random(n) < 0.1, transducer.ANY, start)
+            state, want = int(start[0]), []
+            for f, e in zip(first.tolist(), after.tolist(), strict=True):
+                state = e if f in (transducer.ANY, state) else transducer.NONE
+                want.append(state)
+            assert transducer.composed(first, after).tolist() == want
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["".join(random.Random(k).choice(alphabet) for _ in range(n)) for k, (n, alphabet) in enumerate([(4000, "etaoinshr"), (3000, "a"), (2500, "'sv1!"), (2000, "日本a")])]
+    for lead in (0, 1, 48):
+        monkeypatch.setattr(transducer, "LEAD", lead)
+        for chunk in (64, 512):
+            monkeypatch.setattr(transducer, "CHUNK", chunk)
+            assert transducer.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_fast_ids_equal_the_library():
     library = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
     encode = tokens.encoder()
