@@ -260,7 +260,8 @@ def chained(links: DataFrame) -> DataFrame:
         if held is not None and (out := list(rows(*held))):
             yield record_batch(_CHAIN, list(zip(*out, strict=True)))
 
-    ordered = links.select("doc", "ref", "pos", "ref_pos").distinct().repartition("doc").sortWithinPartitions("doc", "ref", "pos", "ref_pos")
+    # dealt out first: the distinct links need no exchange of their own
+    ordered = links.select("doc", "ref", "pos", "ref_pos").repartition("doc").distinct().sortWithinPartitions("doc", "ref", "pos", "ref_pos")
     return ordered.mapInArrow(run, _CHAINS)
 
 
@@ -283,6 +284,24 @@ def words(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", slots(F.col("doc_id")).alias("slot")).mapInArrow(run, "doc long, words binary")
 
 
+def _documents(chain: DataFrame) -> DataFrame:
+    """id of the documents of chains, on either side."""
+    return chain.select(F.col("doc").alias("id")).union(chain.select(F.col("ref").alias("id"))).distinct()
+
+
+def _still(kept: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``words`` of at least the documents with the given ids."""
+    shared = kept.sparkSession.sparkContext.broadcast(bitmap(ids))
+
+    def run(batches):
+        for b in sliced(batches):
+            part = b.filter(pa.array(member(shared.value, b.column(2).to_numpy(zero_copy_only=False))))
+            if part.num_rows:
+                yield part.select(["doc", "words"])
+
+    return kept.select("doc", "words", slots(F.col("doc")).alias("slot")).mapInArrow(run, "doc long, words binary")
+
+
 def _gap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """(equal words, columns) of the best alignment of two short runs."""
     if a.size == b.size and a.size:
@@ -500,17 +519,18 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     del found
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()  # the links' shuffle files go before texts are dealt out
-    ids = chain.select(F.col("doc").alias("id")).union(chain.select(F.col("ref").alias("id"))).distinct()
-    kept = materialize(words(docs, ids), "words").dropDuplicates(["doc"])
+    kept = materialize(words(docs, _documents(chain)), "words")
     margin, done = MARGIN, None
     while True:
-        found = materialize(_aligned(chain, kept, margin), "passages")
+        found = materialize(_aligned(chain, kept.dropDuplicates(["doc"]), margin), "passages")
         ready = found.where("doc is null")
         done = ready if done is None else done.union(ready)
         chain = found.where("doc is not null").select(*(n for n, _ in _CHAIN))
         if chain.isEmpty():
             return _without_parts(done)
         margin *= 8  # passages that go on
+        whole, kept = kept, materialize(_still(kept, _documents(chain)), "words")  # only their documents are dealt out again
+        discard(whole)
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
