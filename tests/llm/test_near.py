@@ -285,6 +285,18 @@ def test_parts_with_earlier_owners(spark):
         assert any(r.doc_id == doc and r.ref_doc_id == ref and abs(r.end_word - r.start_word - size) <= 4 and r.similarity >= 0.9 for r in found), (doc, ref, size)
 
 
+def test_words_of_later_rounds(spark):
+    """Words that are dealt out again belong to the documents asked for, whole; with none, nothing is left."""
+    docs = spark.createDataFrame([(i, prose(8000 + i, 20 + i)) for i in range(60)], "doc_id long, text string")
+    every = spark.range(60).selectExpr("id")
+    kept = passages.words(docs, every)
+    want = {r.doc: bytes(r.words) for r in kept.collect()}
+    assert {d: len(w) // 4 for d, w in want.items()} == {i: 20 + i for i in range(60)}
+    some = passages._still(kept, every.where("id % 7 = 3"))
+    assert {r.doc: bytes(r.words) for r in some.collect()} == {d: w for d, w in want.items() if d % 7 == 3}
+    assert passages._still(kept, every.where("id < 0")).count() == 0
+
+
 def test_recall_of_edited_passages(spark):
     """Passages with a word replaced, inserted or dropped at every n-th place, down to 0.8 equal words."""
     rng, rows, kinds = random.Random(11), [], [(60, 12), (60, 10), (60, 8), (100, 8), (60, 6), (100, 6)]
