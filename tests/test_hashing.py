@@ -38,3 +38,18 @@ def test_uuid_case_and_expression(spark):
     df = spark.createDataFrame([(u, 7)], "u string, i long")
     assert H.with_hash(df, "u", "uuid hashed", "murmur", "h").first().h == H.hash_value(u, "uuid", "murmur") == H.murmur3(u.lower().encode())
     assert H.with_expression_hash(df, [("i", "integer"), ("u", "varchar")], "h").first().h == H.hash_tuple((7, u), ("integer", "varchar"), "murmur")
+
+
+def test_methods_of_expressions_are_compiled(spark):
+    """The JVM interprets methods of over 8,000 bytes; a routing expression stays below, whatever its columns."""
+    names = ["a", "b", "c", "d"]
+    rows = [(1, TOP, -1, 1 << 56), (127, 128, (1 << 56) - 1, 0), (-TOP - 1, 1 << 35, 5, 1 << 49), (None, 1, 2, 3), (1, 2, 3, None)]
+    for count in (1, 2, 4):
+        columns = [(n, "integer") for n in names[:count]]
+        for r in H.with_expression_hash(spark.createDataFrame(rows, "a long, b long, c long, d long"), columns, "h").collect():
+            key = tuple(r)[:count]
+            assert r.h == (None if None in key else H.hash_tuple(key, ["integer"] * count, "murmur")), key
+        df = H.with_expression_hash(spark.range(9).selectExpr("id a", "id * 300 b", "-id c", "id << 50 d"), columns, "h")
+        codes = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+        assert sizes and max(sizes) < 6000, (count, sizes)
