@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rangeloom.operators import dml, movement
+from rangeloom.operators import dml, movement, stats
 from rangeloom.operators.routing import placed, with_shard
 from rangeloom.plans import pruning
 from rangeloom.plans.engine import Engine
@@ -305,3 +307,22 @@ def test_sql_statements(engine):
     log = engine.spark.createDataFrame([(1, "INSERT INTO ref VALUES (7, 'z')"), (0, "SELECT 1")], "n long, statement string")
     assert engine.replay(log) == 2 and engine.tables["ref"].count() == before + 1
     assert engine.workload().where("statement = 'BEGIN'").count() == 1
+
+
+def test_exact_quantiles_by_brute_force(spark):
+    """Equal to Spark's own on any numbers; no aggregate holds a group's values, and groups of nulls alone have null quantiles."""
+    rng, shares, inf = random.Random(3), [0.0, 0.1, 0.5, 0.75, 0.99, 1.0], float("inf")
+    odd = [inf, -inf, float("nan"), 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, None, None]
+    rows = [("near", 1 + i * 2.0**-52) for i in range(1000)] + [("same", 7.25)] * 1000 + [("nulls", None)] * 5 + [(None, float(i)) for i in range(10)] + [("one", -3.5)]
+    rows += [("wide", rng.choice((-1, 1)) * 10 ** rng.uniform(-300, 300)) for _ in range(1000)] + [("odd", v) for v in odd * 5] + [("even", float(i % 100)) for i in range(999)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    points = F.array(*map(F.lit, shares))
+    known = {r.g: r.v or [None] * len(shares) for r in df.groupBy("g").agg(F.percentile("v", points).alias("v")).collect()}
+    found = stats.quantiles(df, "v", shares, exact=True, by=["g"])
+    assert {(r.g, r.quantile): repr(r.value) for r in found.collect()} == {(g, q): repr(v + 0.0 if v == 0 else v) for g, vs in known.items() for q, v in zip(shares, vs, strict=True)}
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for g in ("odd", "wide"):
+        one = stats.quantiles(df.where(F.col("g").eqNullSafe(F.lit(g))), "v", shares, exact=True).collect()
+        assert {r.quantile: repr(r.value) for r in one} == {q: repr(v + 0.0 if v == 0 else v) for q, v in zip(shares, known[g], strict=True)}, g
+    assert stats.quantiles(df.where("false"), "v", shares, exact=True).count() == 0
+    assert stats.quantiles(df.selectExpr("g", "cast(NULL as double) v"), "v", [0.5], exact=True).collect() == [(0.5, None)]
